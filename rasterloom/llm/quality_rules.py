@@ -86,11 +86,12 @@ def log_ratios(docs: DataFrame, target: DataFrame, *, text: str, key: str, bucke
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("in_target").alias("target"))
     total = counts.agg(F.collect_list(F.struct("bucket", "raw", "target")).alias("c"), F.coalesce(F.sum("raw"), F.lit(0)).alias("n_raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("n_target"))
     room = smoothing * buckets
-    counted = lambda c, b: let(F.get(c, b), lambda x: F.log((F.coalesce(x["target"], F.lit(0)) + smoothing) / (F.col("n_target") + room)) - F.log((F.coalesce(x["raw"], F.lit(0)) + smoothing) / (F.col("n_raw") + room)))
+    share = lambda n, total: F.log((F.coalesce(n, F.lit(0)) + smoothing) / (total + room))
     # a dense array by bucket: those never met are added with nulls, and sorting puts all in place
-    empty = F.transform(F.array_except(F.sequence(F.lit(0), F.lit(buckets - 1)), F.transform("c", lambda x: x["bucket"])), lambda b: F.struct(b.alias("bucket"), F.lit(None).cast("long").alias("raw"), F.lit(None).cast("long").alias("target")))
-    dense = total.select(F.sort_array(F.concat("c", empty)).alias("c"), "n_raw", "n_target")
-    return dense.select(F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: counted(F.col("c"), b)).alias("ratios"))
+    unmet = F.array_except(F.sequence(F.lit(0), F.lit(buckets - 1)), F.transform("c", lambda x: x["bucket"]))
+    none = F.lit(None).cast("long")
+    every = F.sort_array(F.concat("c", F.transform(unmet, lambda b: F.struct(b.alias("bucket"), none.alias("raw"), none.alias("target")))))
+    return total.select(F.transform(every, lambda x: share(x["target"], F.col("n_target")) - share(x["raw"], F.col("n_raw"))).alias("ratios"))
 
 
 def quality_rules(docs: DataFrame, target: DataFrame, *, text: str = "text", key: str = "doc_id", buckets: int = 16384, smoothing: float = 1.0, threshold: float = -0.3, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:

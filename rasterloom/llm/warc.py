@@ -97,7 +97,7 @@ class WarcWriter(DataSourceArrowWriter):
             for at in range(0, batch.num_rows, 64):
                 for row in batch.slice(at, 64).to_pylist():
                     data = member(record(row, self.date))
-                    out = out or fs.open_output_stream(f"{root}/{name}")
+                    out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
                     out.write(data)
                     size += len(data)
         if out is None:
