@@ -94,7 +94,7 @@ def log_ratios(docs: DataFrame, target: DataFrame, *, text: str, key: str, bucke
     return total.select(F.transform(every, lambda x: share(x["target"], F.col("n_target")) - share(x["raw"], F.col("n_raw"))).alias("ratios"))
 
 
-def quality_rules(docs: DataFrame, target: DataFrame, *, text: str = "text", key: str = "doc_id", buckets: int = 16384, smoothing: float = 1.0, threshold: float = -0.3, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
+def quality_rules(docs: DataFrame, target: DataFrame, *, text: str = "text", key: str = "doc_id", buckets: int = 16384, smoothing: float = 1.0, threshold: float = -0.1, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
     score: the mean log ratio of a text's n-grams, 0 for a text without any; kept: not
