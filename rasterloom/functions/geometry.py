@@ -65,7 +65,7 @@ def outside(w: Column, h: Column, bw: Column, bh: Column, enlarge: Column) -> tu
 
 
 def fit(width: Column, height: Column, box_width: Column, box_height: Column, *, how: Column, position: Column, enlarge: Column) -> Column:
-    """Geometry of a resize, or null where the image is left as it is.
+    """Geometry of a resize, or null where the image is left as it is or has no size.
 
     struct<crop: struct<left, top, width, height: double>, width, height: long, canvas:
     struct<width, height, x, y: long>>; crop and canvas are null where they do nothing. Fits
@@ -94,7 +94,8 @@ def fit(width: Column, height: Column, box_width: Column, box_height: Column, *,
     free = lambda b, i, a: F.floor((b - i).cast("double") * a).cast("long")
     canvas = F.when(is_["contain"] & ((iw != bw) | (ih != bh)), F.struct(_narrow(bw).alias("width"), _narrow(bh).alias("height"), free(bw, iw, ax).alias("x"), free(bh, ih, ay).alias("y")))
     out = F.struct(crop.alias("crop"), _narrow(out_w).alias("width"), _narrow(out_h).alias("height"), canvas.alias("canvas"))
-    return F.when(crop.isNotNull() | canvas.isNotNull() | (out_w != width) | (out_h != height), out)
+    some = width.isNotNull() & height.isNotNull()
+    return F.when(some & (crop.isNotNull() | canvas.isNotNull() | (out_w != width) | (out_h != height)), out)
 
 
 def scale(width: Column, height: Column, factor: Column, enlarge: Column) -> Column:

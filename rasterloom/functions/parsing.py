@@ -75,6 +75,7 @@ def byte_size(n: Column) -> Column:
 
 
 def change(before: Column, after: Column) -> Column:
-    """-63% or +12%; n/a from nothing."""
+    """-63% or +12%, halves to even; n/a from nothing."""
     percent = (after - before).cast("double") / before.cast("double") * 100
-    return F.when(before == 0, "n/a").otherwise(F.format_string("%+.0f%%", percent))
+    even = F.bround(percent)
+    return F.when(before == 0, "n/a").when((even == 0) & (percent < 0), "-0%").otherwise(F.format_string("%+.0f%%", even))

@@ -46,7 +46,7 @@ def search_column(score: Callable[[Column], Column], target: Column, *, toleranc
     d = lambda c: c.cast("double")
     lo0, hi0 = F.round(d(F.lit(axis[0]) if floor is None else floor)), F.round(d(F.lit(axis[1]) if ceiling is None else ceiling))
     null, no = F.lit(None).cast("double"), F.lit(False)
-    start = F.least(F.greatest(F.round(d(seed)), lo0), hi0) if seed is not None else null
+    start = F.when(seed.isNotNull(), F.least(F.greatest(F.round(d(seed)), lo0), hi0)) if seed is not None else null
     stride = F.when(d(seed).isNotNull(), d(step)) if seed is not None and step is not None else null
     none = F.array().cast("array<struct<value:double,score:double>>")
     state = F.struct(

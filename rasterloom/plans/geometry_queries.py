@@ -142,8 +142,7 @@ def output_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most pixels of an image over a list of widths, upright or turned."""
 
     def of(w, h, b):
-        g = G.fit(w, h, F.lit(b).cast("long"), F.lit(None).cast("long"), how=F.lit("inside"), position=F.lit("center"), enlarge=F.lit(False))
-        x, y = G.output_size(w, h, g)
+        x, y = G.inside(w, h, F.lit(b).cast("long"), F.lit(None).cast("long"), F.lit(False))
         return x * y
 
     w, h = F.col("w"), F.col("h")

@@ -136,7 +136,7 @@ _PRESETS = dims.values(dims.PRESETS, "preset, target, effort, side")
 
 @query(
     "presets_overrides",
-    f"SELECT o_orderkey, p.preset, CASE WHEN q IS NULL THEN p.target END AS target, q AS quality, CAST(p.effort AS BIGINT) AS effort, CAST(coalesce(mw, p.side) AS BIGINT) AS width, CAST(CASE WHEN mw IS NULL THEN p.side END AS BIGINT) AS height FROM (SELECT o_orderkey, ['web', 'thumbnail', 'archive', 'lossless'][1 + o_orderkey % 4] AS preset, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey % 101 AS DOUBLE) END AS q, CASE WHEN o_orderkey % 7 = 0 THEN 1600 END AS mw FROM orders) o JOIN (SELECT * FROM {_PRESETS}) p ON p.preset = o.preset",
+    f"SELECT o_orderkey, p.preset, CAST(CASE WHEN q IS NULL THEN p.target END AS DOUBLE) AS target, q AS quality, CAST(p.effort AS BIGINT) AS effort, CAST(coalesce(mw, p.side) AS BIGINT) AS width, CAST(CASE WHEN mw IS NULL THEN p.side END AS BIGINT) AS height FROM (SELECT o_orderkey, ['web', 'thumbnail', 'archive', 'lossless'][1 + o_orderkey % 4] AS preset, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey % 101 AS DOUBLE) END AS q, CASE WHEN o_orderkey % 7 = 0 THEN 1600 END AS mw FROM orders) o JOIN (SELECT * FROM {_PRESETS}) p ON p.preset = o.preset",
 )
 def presets_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A preset and the flags over it; a size flag replaces the preset's box as a whole."""
@@ -181,7 +181,7 @@ def input_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.first_seen(found, order="page_id").select("path", F.col("page_id").alias("first_page"), F.lit(True).alias("readable"))
 
 
-@query("files_from", "SELECT doc_id, len(list_filter([regexp_replace(x, '\r$', '') FOR x IN string_split(coalesce(text, ''), chr(10))], y -> y <> '')) AS n_paths FROM documents")
+@query("files_from", "SELECT doc_id, len([y FOR y IN [regexp_replace(x, '\r$', '') FOR x IN string_split(coalesce(text, ''), chr(10))] IF y <> '']) AS n_paths FROM documents")
 def files_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as lists of paths."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -281,7 +281,7 @@ def parse_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("spelled", parsing.boolean(s).alias("boolean"), parsing.whole(s, 0, 100).alias("percent"), parsing.palette(s).alias("palette"), parsing.pixels(s).alias("pixels"), parsing.percentage(s).alias("scale"), parsing.colour(s).alias("colour"))
 
 
-@query("size_change", f"SELECT o_orderkey, CASE WHEN i = 0 THEN 'n/a' ELSE printf('%+d%%', CAST(round((o - i) * 100 / CAST(i AS DOUBLE)) AS BIGINT)) END AS change FROM (SELECT o_orderkey, 1000 * (o_orderkey % 7) AS i, 10 * (o_orderkey % 977) AS o FROM orders) q WHERE o_orderkey % 7 <> 0")
+@query("size_change", f"SELECT o_orderkey, CASE WHEN i = 0 THEN 'n/a' ELSE printf('%+.0f%%', (o - i) / CAST(i AS DOUBLE) * 100) END AS change FROM (SELECT o_orderkey, 1000 * (o_orderkey % 7) AS i, 10 * (o_orderkey % 977) AS o FROM orders) q WHERE o_orderkey % 7 <> 0")
 def size_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(k % 7 != 0)

@@ -34,7 +34,7 @@ run(id, n, lo, hi, short, reach, step, v, best, best_score, best_reaches, done,
     FROM (SELECT *, s >= target - 1 AS ok FROM (SELECT w.*, CAST({score} AS DOUBLE) AS s FROM (
       SELECT r.id, r.n + 1 AS n, lo, hi, short, reach,
         CASE WHEN r.n >= 1 AND NOT (r.n + 1 = 6 AND NOT reach) AND step IS NOT NULL THEN step * 2 ELSE step END AS step,
-        CASE WHEN r.n = 0 THEN coalesce(least(greatest(round(seed), lo), hi), {mid}) WHEN r.n + 1 = 6 AND NOT reach THEN CAST({hi} AS DOUBLE)
+        CASE WHEN r.n = 0 AND seed IS NOT NULL THEN least(greatest(round(seed), lo), hi) WHEN r.n = 0 THEN {mid} WHEN r.n + 1 = 6 AND NOT reach THEN CAST({hi} AS DOUBLE)
           WHEN step IS NOT NULL THEN CASE WHEN reach THEN greatest(round(r.v - step), lo) ELSE least(round(r.v + step), hi) END ELSE {mid} END AS v,
         best, best_score, best_reaches, hit_top, base.* EXCLUDE (id)
       FROM run r JOIN base ON base.id = r.id WHERE NOT done AND r.n < 6) w) x) y) z)
@@ -95,7 +95,7 @@ _POINTS = ", ".join(f"('{f}', '{t}', {a}, {q}, {lo}, {hi})" for f, t, a, q, lo,
 @query(
     "seed_lookup",
     f"""WITH p AS (SELECT *, lead(target) OVER w AS nt, lead(quality) OVER w AS nq, lead(low) OVER w AS nl, lead(high) OVER w AS nh, row_number() OVER w = 1 AS f
-      FROM (SELECT column0 AS format, column1 AS tier, CAST(column2 AS DOUBLE) AS target, CAST(column3 AS DOUBLE) AS quality, CAST(column4 AS DOUBLE) AS low, CAST(column5 AS DOUBLE) AS high FROM (VALUES {_POINTS})) v WINDOW w AS (PARTITION BY format, tier ORDER BY target)),
+      FROM (SELECT f AS format, t AS tier, CAST(a AS DOUBLE) AS target, CAST(b AS DOUBLE) AS quality, CAST(c AS DOUBLE) AS low, CAST(d AS DOUBLE) AS high FROM (VALUES {_POINTS}) AS u(f, t, a, b, c, d)) v WINDOW w AS (PARTITION BY format, tier ORDER BY target)),
     t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'jpeg' ELSE 'avif' END AS format, CASE WHEN o_orderkey % 2 = 0 THEN 'portable' ELSE 'native' END AS tier, CAST(20 + o_orderkey % 80 AS DOUBLE) AS target FROM orders),
     m AS (SELECT o_orderkey, t.target, p.quality AS q, p.low AS l, p.high AS h, nq, nl, nh, CASE WHEN nt IS NULL OR t.target <= p.target THEN 0 ELSE (t.target - p.target) / (nt - p.target) END AS s
       FROM t JOIN p ON t.format = p.format AND t.tier = p.tier AND (f OR p.target <= t.target) AND (nt IS NULL OR t.target < nt))
@@ -142,7 +142,7 @@ def calibrate_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "calibrate_merge",
-    f"""WITH c AS (SELECT column0 AS format, column1 AS tier, CAST(column2 AS DOUBLE) AS target, CAST(column3 AS DOUBLE) AS quality FROM (VALUES {_POINTS})), f AS (SELECT 'avif' AS format, 'native' AS tier, CAST(n_nationkey AS DOUBLE) AS target, CAST(n_regionkey AS DOUBLE) AS quality FROM nation)
+    f"""WITH c AS (SELECT f AS format, t AS tier, CAST(a AS DOUBLE) AS target, CAST(b AS DOUBLE) AS quality FROM (VALUES {_POINTS}) AS u(f, t, a, b, c, d)), f AS (SELECT 'avif' AS format, 'native' AS tier, CAST(n_nationkey AS DOUBLE) AS target, CAST(n_regionkey AS DOUBLE) AS quality FROM nation)
     SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.format = c.format AND f.tier = c.tier) UNION ALL SELECT * FROM f""",
 )
 def calibrate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
