@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces in a shard, and shards whose rests meet in one task of the second round.
-SHARD, MERGED = 4000, 500
+SHARD, MERGED = 8000, 500
 #: A sequence filled less than this joins the second round.
 POOR = 0.98
 #: White-space-led chunks whose ids a worker keeps.
@@ -53,6 +53,7 @@ class ChunkIds:
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.fresh: list[str] = []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -66,10 +67,7 @@ class ChunkIds:
             else:
                 whole.append(c)
         self.known.update(zip(whole, self.encode(whole), strict=True))
-        new = list(set().union(*plain.values()) - self.parts.keys())
-        if len(self.parts) + len(new) > KNOWN:
-            self.parts = {}
-            new = list(set().union(*plain.values()))
+        self.fresh = new = list(set().union(*plain.values()) - self.parts.keys())
         for at in range(0, len(new), 1000):
             some = new[at : at + 1000]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -84,20 +82,22 @@ class ChunkIds:
         get = self.parts.__getitem__
         self.known.update((c, b"".join(map(get, p))) for c, p in plain.items())
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        odd = [i for i, t in enumerate(texts) if self._CONTROL.search(t)]
+    def ids(self, texts: list[str], plain: bool = False) -> list[bytes]:
+        """plain: no text has a character that only Python takes for white space."""
+        odd = [] if plain else [i for i, t in enumerate(texts) if self._CONTROL.search(t)]
         chunks = [t.split() for t in texts]
         for i in odd:
             chunks[i] = []
-        missing = set().union(*chunks) - self.known.keys()
-        if len(self.known) + len(missing) > KNOWN:
-            self.known = {}
-            missing = set().union(*chunks)
-        self.learn(list(missing))
+        missing = list(set().union(*chunks) - self.known.keys())
+        self.learn(missing)
         get = self.known.__getitem__
         out = [b"".join(map(get, c)) for c in chunks]
         for i, ids in zip(odd, self.encode([texts[i] for i in odd]), strict=True):
             out[i] = ids
+        for table, new in ((self.known, missing), (self.parts, self.fresh)):
+            if len(table) > KNOWN:  # what came first is frequent; what is new goes again
+                for k in new:
+                    del table[k]
         return out
 
 
@@ -127,8 +127,9 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, *, text: str = "text", key:
 
         of = tokenizer_for(tokenizer)
         for batch in stream:
-            for rows, _, _ in batches(batch, "__text", 4_000_000):
-                ids = [x + tail for x in of.ids(pc.fill_null(rows.column(1), "").to_pylist())]
+            for rows, raw, _ in batches(batch, "__text", 8_000_000):
+                plain = not ((raw >= 0x1C) & (raw <= 0x1F)).any()
+                ids = [x + tail for x in of.ids(pc.fill_null(rows.column(1), "").to_pylist(), plain)]
                 cut = [-(-len(x) // (4 * length)) for x in ids]
                 row = np.repeat(np.arange(len(ids)), cut)
                 piece = np.concatenate([np.arange(n) for n in cut])
