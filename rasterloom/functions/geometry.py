@@ -37,8 +37,11 @@ def scaled(n: Column, by: Column, of: Column) -> Column:
     return _narrow(F.greatest(F.floor(top / _wide(of)), F.lit(1)))
 
 
-def anchor(position: Column) -> tuple[Column, Column]:
+def anchor(position: Column | str) -> tuple[Column, Column]:
     """Shares left of and above, by position; unknown positions are the centre."""
+    if isinstance(position, str):
+        x, y = ANCHORS.get(position, (0.5, 0.5))
+        return F.lit(x), F.lit(y)
     x, y = F.lit(0.5), F.lit(0.5)
     for name, (ax, ay) in ANCHORS.items():
         x, y = F.when(position == name, F.lit(ax)).otherwise(x), F.when(position == name, F.lit(ay)).otherwise(y)
@@ -64,35 +67,51 @@ def outside(w: Column, h: Column, bw: Column, bh: Column, enlarge: Column) -> tu
     return F.when(keep, w).when(by_width, bw).otherwise(scaled(w, bh, h)), F.when(keep, h).when(by_width, scaled(h, bw, w)).otherwise(bh)
 
 
-def fit(width: Column, height: Column, box_width: Column, box_height: Column, *, how: Column, position: Column, enlarge: Column) -> Column:
+def _chosen(cases: list[tuple[Column, Column]], other: Column) -> Column:
+    """The value of the first case that holds."""
+    out = other
+    for condition, value in reversed(cases):
+        out = F.when(condition, value).otherwise(out)
+    return out
+
+
+def fit(width: Column, height: Column, box_width: Column, box_height: Column, *, how: Column | str, position: Column | str, enlarge: Column) -> Column:
     """Geometry of a resize, or null where the image is left as it is or has no size.
 
     struct<crop: struct<left, top, width, height: double>, width, height: long, canvas:
     struct<width, height, x, y: long>>; crop and canvas are null where they do nothing. Fits
-    other than inside that lack a bound are read as inside.
+    other than inside that lack a bound are read as inside. A fit or position that is the same for all
+    rows may be a string, which keeps the expression small.
     """
     w, h = _side(width), _side(height)
     bw, bh = F.when(box_width.isNotNull(), _side(box_width)), F.when(box_height.isNotNull(), _side(box_height))
     both = bw.isNotNull() & bh.isNotNull()
-    is_ = {k: (how == k) & both for k in FITS}
+    is_ = {how: both} if isinstance(how, str) else {k: (how == k) & both for k in FITS}
     ax, ay = anchor(position)
     iw, ih = inside(w, h, bw, bh, enlarge)
-    ow, oh = outside(w, h, bw, bh, enlarge)
     wd, hd = w.cast("double"), h.cast("double")
-    # cover: the largest part with the box's proportions
-    wider = _wide(bw) * _wide(h) >= _wide(bh) * _wide(w)
-    cw = F.when(wider, wd).otherwise(hd * bw.cast("double") / bh.cast("double"))
-    ch = F.when(wider, wd * bh.cast("double") / bw.cast("double")).otherwise(hd)
-    to_box = enlarge | (cw >= bw.cast("double"))
-    rw = F.least(F.greatest(F.round(cw).cast("long"), F.lit(1)), w)
-    rh = F.least(F.greatest(F.round(ch).cast("long"), F.lit(1)), h)
-    kw, kh = F.when(to_box, cw).otherwise(rw.cast("double")), F.when(to_box, ch).otherwise(rh.cast("double"))
-    crop = F.when(is_["cover"] & ((kw < wd) | (kh < hd)), F.struct(F.floor((wd - kw) * ax).cast("double").alias("left"), F.floor((hd - kh) * ay).cast("double").alias("top"), kw.alias("width"), kh.alias("height")))
-    fw, fh = F.when(enlarge, bw).otherwise(F.least(bw, w)), F.when(enlarge, bh).otherwise(F.least(bh, h))
-    out_w = F.when(is_["cover"], F.when(to_box, bw).otherwise(rw)).when(is_["fill"], fw).when(is_["outside"], ow).otherwise(iw)
-    out_h = F.when(is_["cover"], F.when(to_box, bh).otherwise(rh)).when(is_["fill"], fh).when(is_["outside"], oh).otherwise(ih)
-    free = lambda b, i, a: F.floor((b - i).cast("double") * a).cast("long")
-    canvas = F.when(is_["contain"] & ((iw != bw) | (ih != bh)), F.struct(_narrow(bw).alias("width"), _narrow(bh).alias("height"), free(bw, iw, ax).alias("x"), free(bh, ih, ay).alias("y")))
+    sizes: list[tuple[Column, tuple[Column, Column]]] = []
+    crop = F.lit(None).cast("struct<left:double,top:double,width:double,height:double>")
+    canvas = F.lit(None).cast("struct<width:bigint,height:bigint,x:bigint,y:bigint>")
+    if "cover" in is_:  # the largest part with the box's proportions
+        wider = _wide(bw) * _wide(h) >= _wide(bh) * _wide(w)
+        cw = F.when(wider, wd).otherwise(hd * bw.cast("double") / bh.cast("double"))
+        ch = F.when(wider, wd * bh.cast("double") / bw.cast("double")).otherwise(hd)
+        to_box = enlarge | (cw >= bw.cast("double"))
+        rw = F.least(F.greatest(F.round(cw).cast("long"), F.lit(1)), w)
+        rh = F.least(F.greatest(F.round(ch).cast("long"), F.lit(1)), h)
+        kw, kh = F.when(to_box, cw).otherwise(rw.cast("double")), F.when(to_box, ch).otherwise(rh.cast("double"))
+        part = F.struct(F.floor((wd - kw) * ax).cast("double").alias("left"), F.floor((hd - kh) * ay).cast("double").alias("top"), kw.alias("width"), kh.alias("height"))
+        crop = F.when(is_["cover"] & ((kw < wd) | (kh < hd)), part)
+        sizes.append((is_["cover"], (F.when(to_box, bw).otherwise(rw), F.when(to_box, bh).otherwise(rh))))
+    if "fill" in is_:
+        sizes.append((is_["fill"], (F.when(enlarge, bw).otherwise(F.least(bw, w)), F.when(enlarge, bh).otherwise(F.least(bh, h)))))
+    if "outside" in is_:
+        sizes.append((is_["outside"], outside(w, h, bw, bh, enlarge)))
+    if "contain" in is_:
+        free = lambda b, i, a: F.floor((b - i).cast("double") * a).cast("long")
+        canvas = F.when(is_["contain"] & ((iw != bw) | (ih != bh)), F.struct(_narrow(bw).alias("width"), _narrow(bh).alias("height"), free(bw, iw, ax).alias("x"), free(bh, ih, ay).alias("y")))
+    out_w, out_h = _chosen([(c, s[0]) for c, s in sizes], iw), _chosen([(c, s[1]) for c, s in sizes], ih)
     out = F.struct(crop.alias("crop"), _narrow(out_w).alias("width"), _narrow(out_h).alias("height"), canvas.alias("canvas"))
     some = width.isNotNull() & height.isNotNull()
     return F.when(some & (crop.isNotNull() | canvas.isNotNull() | (out_w != width) | (out_h != height)), out)

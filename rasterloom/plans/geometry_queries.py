@@ -29,7 +29,7 @@ def _flat(df: DataFrame) -> DataFrame:
 def _fit(how: str, bw: int | None, bh: int | None, position: str, enlarge: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         side = lambda v: F.lit(v).cast("long")
-        g = G.fit(F.col("w"), F.col("h"), side(bw), side(bh), how=F.lit(how), position=F.lit(position), enlarge=F.lit(enlarge))
+        g = G.fit(F.col("w"), F.col("h"), side(bw), side(bh), how=how, position=position, enlarge=F.lit(enlarge))
         return _flat(sizes(spark, sf_dir).withColumn("g", g))
 
     return run
@@ -103,7 +103,7 @@ FROM o a JOIN o b ON a.id = b.id AND a.ow = b.ow AND a.oh = b.oh AND a.i < b.i G
 def geometry_srcset_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Widths of a list that give an image the size that an earlier one gave it."""
     s = sizes(spark, sf_dir).select("*", F.posexplode(F.array(*[F.lit(b).cast("long") for b in _WIDTHS])).alias("i", "b"))
-    g = G.fit(F.col("w"), F.col("h"), F.col("b"), F.lit(None).cast("long"), how=F.lit("inside"), position=F.lit("center"), enlarge=F.lit(False))
+    g = G.fit(F.col("w"), F.col("h"), F.col("b"), F.lit(None).cast("long"), how="inside", position="center", enlarge=F.lit(False))
     w, h = G.output_size(F.col("w"), F.col("h"), F.col("g"))
     o = s.withColumn("g", g).select("id", F.col("i").cast("long").alias("i"), w.alias("width"), h.alias("height"))
     # a size's places meet in one group: no join of places with each other

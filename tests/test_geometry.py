@@ -41,6 +41,16 @@ def test_nothing_to_do(spark):
     assert [r["g"] and r["g"]["width"] for r in factor] == [None, None, None, 5]
 
 
+@pytest.mark.parametrize("how", G.FITS)
+@pytest.mark.parametrize("enlarge", [True, False])
+def test_fits_by_row_equal_fits_by_name(spark, how, enlarge):
+    rows = spark.range(200).select((1 + F.col("id") * 37 % 500).alias("w"), (1 + F.col("id") * 91 % 400).alias("h"), F.when(F.col("id") % 9 > 0, F.lit(220)).cast("long").alias("bw"), F.lit(140).cast("long").alias("bh"), F.lit(how).alias("how"), F.lit("bottom-right").alias("at"))
+    args = [F.col(c) for c in ("w", "h", "bw", "bh")]
+    one = G.fit(*args, how=how, position="bottom-right", enlarge=F.lit(enlarge))
+    each = G.fit(*args, how=F.col("how"), position=F.col("at"), enlarge=F.lit(enlarge))
+    assert rows.filter(~one.eqNullSafe(each)).count() == 0
+
+
 def test_inside_never_leaves_the_box(spark):
     rows = spark.range(5000).select((1 + F.pmod(F.xxhash64("id"), F.lit(5000))).alias("w"), (1 + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5000))).alias("h"), (1 + F.pmod(F.xxhash64("id", F.lit(2)), F.lit(3000))).alias("bw"), (1 + F.pmod(F.xxhash64("id", F.lit(3)), F.lit(3000))).alias("bh"))
     w, h = G.inside(F.col("w"), F.col("h"), F.col("bw"), F.col("bh"), F.lit(True))
