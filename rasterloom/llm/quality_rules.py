@@ -31,25 +31,36 @@ def words_of(text: Column) -> Column:
 
 
 def repeated_words(words: Column, size: int) -> Column:
-    """Words in windows of so many words that are found twice or more in one text."""
-    n = F.size(words)
-    windows = F.when(n > size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.slice(words, i, F.lit(size)))))
+    """Words in windows of so many words that are found twice or more in one text.
+
+    Only texts in which a window of half the size recurs can have any; others end there.
+    """
+    zero = F.lit(0).cast("long")
+
+    def windows(h: Column, k: int) -> Column:
+        return F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)]))
 
     def places(s: Column) -> Column:
         same = lambda x, i: F.coalesce(x["h"] == F.get(s, i)["h"], F.lit(False))
         return F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1))
 
     def covered(p: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-size).alias("last"))
+        start = F.struct(zero.alias("n"), F.lit(-size).alias("last"))
         step = lambda a, x: F.struct((a["n"] + F.least(F.lit(size), x - a["last"])).alias("n"), x.alias("last"))
         return F.aggregate(p, start, step, lambda a: a["n"])
 
     def count(g: Column) -> Column:
         pairs = F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         found = let(pairs, lambda s: F.sort_array(F.transform(places(s), lambda x: x["i"])))
-        return F.when(F.size(F.array_distinct(g)) < F.size(g), covered(found)).otherwise(F.lit(0).cast("long"))
+        return F.when(F.size(F.array_distinct(g)) < F.size(g), covered(found)).otherwise(zero)
 
-    return F.coalesce(let(windows, count), F.lit(0).cast("long"))
+    def of(h: Column) -> Column:
+        n = F.size(h)
+        recurs = let(windows(h, size // 2), lambda g: F.size(F.array_distinct(g)) < n)
+        whole = F.slice(windows(h, size), F.lit(1), F.greatest(n - size + 1, F.lit(0)))
+        return F.when((n > size) & recurs, let(whole, count)).otherwise(zero)
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
 def with_statistics(docs: DataFrame, text: str, window: int = 8) -> DataFrame:
@@ -68,11 +79,16 @@ def with_statistics(docs: DataFrame, text: str, window: int = 8) -> DataFrame:
     ).drop("__words", "__lines")
 
 
-def _grams(text: Column, buckets: int) -> Column:
-    """Hash buckets of the uni- and bigrams of a text's tokens; a bigram ends each text."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(buckets)).cast("int")
-    return let(tokens, lambda t: F.flatten(F.transform(t, lambda x, i: F.array(bucket(x), bucket(x, F.coalesce(F.get(t, i + 1), F.lit("")))))))
+def _bucket(buckets: int, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
+
+
+def _tokens(docs: DataFrame, text: str, kept: list[str]) -> DataFrame:
+    """kept, and a row (a, b) for each token of a text and the one after it, empty at the end; nulls for no token."""
+    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
+    out = docs.select(*kept, found.alias("__a"))
+    after = F.concat(F.slice("__a", 2, 2**31 - 1), F.array(F.lit("")))
+    return out.select(*kept, F.inline_outer(F.when(F.size("__a") > 0, F.arrays_zip("__a", after.alias("__b")))).alias("a", "b"))
 
 
 def log_ratios(docs: DataFrame, target: DataFrame, *, text: str, key: str, buckets: int, smoothing: float) -> DataFrame:
@@ -82,7 +98,8 @@ def log_ratios(docs: DataFrame, target: DataFrame, *, text: str, key: str, bucke
     """
     trusted = target.select(F.col(key).alias("__key")).filter("__key IS NOT NULL").distinct()
     marked = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(trusted, F.col("__k") == F.col("__key"), "left")
-    grams = marked.select(F.explode(_grams(F.col("__t"), buckets)).alias("bucket"), F.col("__key").isNotNull().cast("long").alias("in_target"))
+    tokens = _tokens(marked.select("__t", F.col("__key").isNotNull().cast("long").alias("in_target")), "__t", ["in_target"]).filter("a IS NOT NULL")
+    grams = tokens.select("in_target", F.explode(F.array(_bucket(buckets, "a"), _bucket(buckets, "a", "b"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("in_target").alias("target"))
     total = counts.agg(F.collect_list(F.struct("bucket", "raw", "target")).alias("c"), F.coalesce(F.sum("raw"), F.lit(0)).alias("n_raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("n_target"))
     room = smoothing * buckets
@@ -94,21 +111,23 @@ def log_ratios(docs: DataFrame, target: DataFrame, *, text: str, key: str, bucke
     return total.select(F.transform(every, lambda x: share(x["target"], F.col("n_target")) - share(x["raw"], F.col("n_raw"))).alias("ratios"))
 
 
-def quality_rules(docs: DataFrame, target: DataFrame, *, text: str = "text", key: str = "doc_id", buckets: int = 16384, smoothing: float = 1.0, threshold: float = -0.1, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
+def quality_rules(docs: DataFrame, target: DataFrame, *, text: str = "text", key: str = "doc_id", buckets: int = 16384, smoothing: float = 1.0, threshold: float = -0.1, min_words: int = 20, repeat_percent: int = 30, keep: list[str] | None = None) -> DataFrame:
+    """keep (all columns but the text, if None) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
     score: the mean log ratio of a text's n-grams, 0 for a text without any; kept: not
     base_failed, and a score of at least threshold. A null text is one without words, so it fails
     the base rules; a null key is never in the target. Repeated rows are scored each, and counted
     each in the corpus. If the target is empty, all ratios are those of smoothing alone. An empty
-    table gives an empty result. Columns named as a result are replaced.
+    table gives an empty result. Columns named as a result are replaced; kept ones can't be maps.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
-    docs = docs.select([c for c in docs.columns if c not in new])
-    ratios = log_ratios(docs, target, text=text, key=key, buckets=buckets, smoothing=smoothing)
-    out = with_statistics(docs, text).withColumn("__ratios", ratios.scalar())
-    zero = F.lit(0.0)
-    mean = lambda g: F.when(F.size(g) > 0, F.aggregate(g, zero, lambda a, b: a + F.get(F.col("__ratios"), b)) / F.size(g)).otherwise(zero)
+    keep = [c for c in (docs.columns if keep is None else keep) if c != text and c not in new]
+    table = log_ratios(docs, target, text=text, key=key, buckets=buckets, smoothing=smoothing).scalar()
+    counted = with_statistics(docs.select(*keep, F.col(text).alias("__text")), "__text")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    out = out.withColumns({"base_failed": failed, "score": let(_grams(F.col(text), buckets), mean)})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("__ratios")
+    counted = counted.withColumns({"base_failed": failed, "__row": F.monotonically_increasing_id()})
+    own = ["__row", *keep, *new[:6]]
+    # a text's tokens stay in its task, so what is dealt is one sum for each text
+    sums = _tokens(counted, "__text", own).groupBy(*own).agg(F.sum(F.get(table, _bucket(buckets, "a")) + F.get(table, _bucket(buckets, "a", "b"))).alias("s"), F.count("a").alias("n"))
+    score = F.when(F.col("n") > 0, F.col("s") / (2 * F.col("n"))).otherwise(F.lit(0.0))
+    return sums.select(*keep, *new[:6], score.alias("score")).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))

@@ -59,8 +59,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    out = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), target)
-    return out.drop("text")
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), target, keep=["doc_id"])
 
 
 @query

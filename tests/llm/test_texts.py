@@ -41,8 +41,9 @@ def test_rules(ready, corpus):
     target = ready.createDataFrame([(1,), (9,), (None,), (777,)], "doc_id long")
     got = quality_rules.quality_rules(docs, target, buckets=256).collect()
     assert len(got) == 20
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in got:
-        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute_rules(r["text"]), r["doc_id"]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute_rules(texts[r["doc_id"]]), r["doc_id"]
         assert r["kept"] == (not r["base_failed"] and r["score"] >= -0.1)
     by = {r["doc_id"]: r for r in got}
     assert by[1]["score"] > by[12]["score"] and by[4]["score"] == 0
@@ -53,7 +54,9 @@ def test_rules(ready, corpus):
 def test_ratios_are_those_of_the_counts(ready):
     docs = ready.createDataFrame([(1, "a b a"), (2, "b b"), (3, None)], "doc_id long, text string")
     ratios = quality_rules.log_ratios(docs, docs.filter("doc_id = 1").select("doc_id"), text="text", key="doc_id", buckets=8, smoothing=1.0).first()[0]
-    grams = {r["doc_id"]: r["g"] for r in docs.select("doc_id", quality_rules._grams(F.col("text"), 8).alias("g")).collect()}
+    pairs = quality_rules._tokens(docs, "text", ["doc_id"]).select("doc_id", "a", "b", quality_rules._bucket(8, "a").alias("x"), quality_rules._bucket(8, "a", "b").alias("y")).collect()
+    assert [(r["a"], r["b"]) for r in pairs if r["doc_id"] == 1] == [("a", "b"), ("b", "a"), ("a", "")]
+    grams = {d: [v for r in pairs if r["doc_id"] == d and r["a"] is not None for v in (r["x"], r["y"])] for d in (1, 2, 3)}
     raw, target = np.bincount(grams[1] + grams[2] + grams[3], minlength=8), np.bincount(grams[1], minlength=8)
     expected = np.log((target + 1) / (target.sum() + 8)) - np.log((raw + 1) / (raw.sum() + 8))
     assert len(grams[1]) == 6 and not grams[3] and np.allclose(ratios, expected)
