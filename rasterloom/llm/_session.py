@@ -23,8 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session with a checkpoint folder."""
+    """The session with a checkpoint folder, and Arrow batches of few rows: texts may be long."""
     folder = shared_folder(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return spark

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are hashed in runs of rows of about this many bytes.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -37,7 +37,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have[0] = 1
         with np.errstate(over="ignore"):
             have = np.cumprod(have, dtype=_U)
-        if size <= 1 << 25:
+        if size <= 1 << 21:
             _powers[base] = have
     return have[: n + 1]
 

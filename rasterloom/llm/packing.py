@@ -29,7 +29,7 @@ SHARD, MERGED = 8000, 500
 #: A sequence filled less than this joins the second round.
 POOR = 0.98
 #: White-space-led chunks whose ids a worker keeps.
-KNOWN = 1_000_000
+KNOWN = 500_000
 
 
 class ChunkIds:
@@ -127,7 +127,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, *, text: str = "text", key:
 
         of = tokenizer_for(tokenizer)
         for batch in stream:
-            for rows, raw, _ in batches(batch, "__text", 8_000_000):
+            for rows, raw, _ in batches(batch, "__text", 4_000_000):
                 plain = not ((raw >= 0x1C) & (raw <= 0x1F)).any()
                 ids = [x + tail for x in of.ids(pc.fill_null(rows.column(1), "").to_pylist(), plain)]
                 cut = [-(-len(x) // (4 * length)) for x in ids]
