@@ -116,9 +116,11 @@ def repeats(docs: DataFrame, *, window: int = 35, k: int = 10) -> DataFrame:
 
     Each struct is a run of starts of repeated windows, counted in words from 0.
     """
+    # a second key, which the sums aren't dealt by: both sides of the join are dealt anew, so Spark can split hot anchors
+    half = F.shiftrightunsigned("anchor", 32).alias("half")
     every = _occurrences(docs, window, k)
-    shared = every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    seeds = every.join(shared, "anchor").checkpoint()
+    shared = every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", half)
+    seeds = every.select("*", half).join(shared, ["anchor", "half"]).drop("half").checkpoint()
     contexts = seeds.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("one"))
     several = contexts.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1").select("anchor")
     contexts = contexts.join(several, "anchor", "left").select(contexts.anchor, "context", "n", "one", several.anchor.isNotNull().alias("open")).checkpoint()
