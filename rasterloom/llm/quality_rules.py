@@ -97,7 +97,8 @@ def log_ratios(docs: DataFrame, target: DataFrame, *, text: str, key: str, bucke
     target: (key) of trusted rows; keys that are null or not in docs don't matter.
     """
     trusted = target.select(F.col(key).alias("__key")).filter("__key IS NOT NULL").distinct()
-    marked = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(trusted, F.col("__k") == F.col("__key"), "left")
+    # the same join at every size of the target, so costs grow as the input does
+    marked = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(trusted.hint("merge"), F.col("__k") == F.col("__key"), "left")
     tokens = _tokens(marked.select("__t", F.col("__key").isNotNull().cast("long").alias("in_target")), "__t", ["in_target"]).filter("a IS NOT NULL")
     grams = tokens.select("in_target", F.explode(F.array(_bucket(buckets, "a"), _bucket(buckets, "a", "b"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("in_target").alias("target"))
