@@ -9,7 +9,7 @@ from rasterloom.functions import parsing
 from rasterloom.operators import report, search
 from rasterloom.plans import dims
 from rasterloom.plans.catalog import query
-from rasterloom.plans.search_queries import _linear
+from rasterloom.plans.search_queries import _TRIALS, _linear
 from rasterloom.sources import inputs
 
 _ENCODERS = dims.values(dims.ENCODERS, "format, backend, tier, registered, lossy, lossless, alpha")
@@ -48,11 +48,17 @@ _VALUES = "CASE n WHEN 1 THEN 51 WHEN 2 THEN 76 WHEN 3 THEN 88 WHEN 4 THEN 94 WH
     WINDOW w AS (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 )
 def trial_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searches that fall short, trial by trial, with the bracket's lower end before each."""
-    found = _linear(spark, sf_dir, False).filter(F.col("id") % 97 < 20)
-    log = found.select("id", F.posexplode("found.trials").alias("n", "t"))
+    """The part of trial_log_all whose trials the SQL can name without a search: slopes under 0.4."""
+    return trial_log_all(spark, sf_dir).filter(F.col("id") % 97 < 20)
+
+
+@query("trial_log_all", _TRIALS)
+def trial_log_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every search, trial by trial, with the bracket's lower end before each."""
+    log = _linear(spark, sf_dir, False).select("id", F.posexplode("found.trials").alias("n", "t"))
     before = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    return log.select("id", (F.col("n") + 1).cast("long").alias("n"), F.col("t.value").alias("value"), F.round("t.score", 9).alias("score"), F.coalesce(F.max("t.value").over(before), F.lit(search.QUALITY[0])).alias("low"))
+    short = F.when(F.col("t.score") < 70.0 - search.TOLERANCE, F.col("t.value"))
+    return log.select("id", (F.col("n") + 1).cast("long").alias("n"), F.col("t.value").alias("value"), F.round("t.score", 9).alias("score"), F.coalesce(F.max(short).over(before), F.lit(search.QUALITY[0])).alias("low"))
 
 
 _SIZE = "CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) || ' B' WHEN n < 1000000 THEN printf('%.1f KB', n / 1e3) WHEN n < 1000000000 THEN printf('%.1f MB', n / 1e6) ELSE printf('%.2f GB', n / 1e9) END"

@@ -19,8 +19,12 @@ def curves(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CURVES, "format string, tier string, target double, quality double, low double, high double")
 
 
-def _recursive(rows: str, score: str, target: str, *, lo: float, hi: float, middle: str, seed: str = "CAST(NULL AS DOUBLE)", stride: str = "CAST(NULL AS DOUBLE)") -> str:
-    """The state machine as a recursive query. rows: id and columns of the score; score in v."""
+_BEST = """SELECT id, best AS value, round(best_score, 9) AS score, CAST(n AS BIGINT) AS iterations, best_reaches AS reached, (NOT best_reaches AND hit_top) AS capped
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS k FROM run) q WHERE k = 1"""
+
+
+def _recursive(rows: str, score: str, target: str, *, lo: float, hi: float, middle: str, seed: str = "CAST(NULL AS DOUBLE)", stride: str = "CAST(NULL AS DOUBLE)", shown: str = _BEST) -> str:
+    """The state machine as a recursive query. rows: id and columns of the score; score in v; shown: what is taken from its states."""
     mid = middle.format(lo="lo", hi="hi")
     return f"""
 WITH RECURSIVE base AS (SELECT *, CAST({target} AS DOUBLE) AS target, {seed} AS seed, {stride} AS seed_step FROM ({rows}) b),
@@ -38,8 +42,7 @@ run(id, n, lo, hi, short, reach, step, v, best, best_score, best_reaches, done,
           WHEN step IS NOT NULL THEN CASE WHEN reach THEN greatest(round(r.v - step), lo) ELSE least(round(r.v + step), hi) END ELSE {mid} END AS v,
         best, best_score, best_reaches, hit_top, base.* EXCLUDE (id)
       FROM run r JOIN base ON base.id = r.id WHERE NOT done AND r.n < 6) w) x) y) z)
-SELECT id, best AS value, round(best_score, 9) AS score, CAST(n AS BIGINT) AS iterations, best_reaches AS reached, (NOT best_reaches AND hit_top) AS capped
-FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS k FROM run) q WHERE k = 1"""
+{shown}"""
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -49,6 +52,10 @@ def _shown(df: DataFrame) -> DataFrame:
 
 _SLOPES = "SELECT p_partkey AS id, 0.2 + (p_partkey % 97) / 100.0 AS k FROM part"
 _LINEAR = _recursive(_SLOPES, "k * v", "70", lo=1, hi=100, middle="round(({lo} + {hi}) / 2)")
+_TRIALS = _recursive(
+    _SLOPES, "k * v", "70", lo=1, hi=100, middle="round(({lo} + {hi}) / 2)",
+    shown="SELECT id, CAST(n AS BIGINT) AS n, v AS value, round(k * v, 9) AS score, low FROM (SELECT r.id, n, v, k, lag(lo) OVER (PARTITION BY r.id ORDER BY n) AS low FROM run r JOIN base ON base.id = r.id) q WHERE n > 0",
+)
 _SEEDED = _recursive(_SLOPES, "k * v", "70", lo=1, hi=100, middle="round(({lo} + {hi}) / 2)", seed="CAST(10 + id % 90 AS DOUBLE)", stride="CAST(2 + id % 18 AS DOUBLE)")
 _PALETTE = _recursive("SELECT p_partkey AS id, CAST(5 + p_partkey % 90 AS DOUBLE) AS k FROM part", "10 + 10 * log2(v)", "k", lo=2, hi=256, middle="round(sqrt({lo} * {hi}))")
 
