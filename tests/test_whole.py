@@ -17,3 +17,10 @@ def test_every_search_has_its_trials(spark):
         assert (found[i]["value"], found[i]["score"]) in [(t["value"], t["score"]) for t in trials]
         assert [t["low"] for t in trials] == [max([1.0, *[u["value"] for u in trials[:n] if u["score"] < 69]]) for n in range(len(trials))]
     assert any(r["reached"] for r in found.values()) and any(not r["reached"] and i % 97 >= 20 for i, r in found.items())
+
+
+def test_every_order_has_its_change(spark):
+    change = dict(library.QUERIES["size_change_all"](spark, FOLDER).collect())
+    orders = [r["o_orderkey"] for r in spark.read.parquet(f"{FOLDER}/orders.parquet").select("o_orderkey").collect()]
+    assert len(change) == len(orders) == len(set(orders))
+    assert {k for k, v in change.items() if v == "n/a"} == {k for k in orders if k % 7 == 0} != set()
