@@ -161,67 +161,74 @@ def best_fit(sizes: np.ndarray, cap: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: np.ndarray, cap: int, steps: int = 1000, sources: int = 16) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: np.ndarray, cap: int) -> list[list[int]]:
     """Empties bins by moves and exchanges between underfull bins until none helps.
 
     Each step carries weight from a bin to one at least as full, so the sum of squared fills
-    grows strictly and the search ends; the least filled bin that can take a step goes first.
-    It stops at the bound ceil(total / cap), after that many steps, or when none of so many
-    least filled bins can take a step.
+    grows strictly and the search ends: at the bound ceil(total / cap), or when no underfull bin
+    can take a step. Passes begin at the least filled bin; a bin that was stuck is tried again
+    only with bins that have changed since.
     """
     bins = [list(b) for b in bins if b]
     least = -(-int(sizes.sum()) // cap)
     fills = np.array([int(sizes[b].sum()) for b in bins], np.int64)
-    stuck: set[int] = set()  # bins without a step since the last change
-    while len(bins) > least and steps > 0:
-        order = [k for k in np.argsort(fills, kind="stable").tolist() if fills[k] < cap]
-        for n, src in enumerate(order[:-1][:sources]):
-            if src not in stuck and (step := _step(src, order[n + 1 :], bins, fills, sizes, cap)):
-                break
-            stuck.add(src)
-        else:
-            break
-        to, give, take = step
-        bins[src] = [i for i in bins[src] if i not in give] + take
-        bins[to] = [i for i in bins[to] if i not in take] + give
-        fills[[src, to]] = sizes[bins[src]].sum(), sizes[bins[to]].sum()
-        stuck, steps = set(), steps - 1
-        if not bins[src]:
-            del bins[src]
-            fills = np.delete(fills, src)
-    return bins
-
-
-def _step(src: int, open_: list[int], bins: list[list[int]], fills: np.ndarray, sizes: np.ndarray, cap: int) -> tuple[int, list[int], list[int]] | None:
-    """The largest gain: (bin, indexes given, indexes taken), or None."""
+    where = np.full(len(sizes), -1, np.int64)  # bin of each index
+    for k, own in enumerate(bins):
+        where[own] = k
+    left, now, moved = len(bins), 0, True
+    changed, tried = np.zeros(len(bins), np.int64), np.full(len(bins), -1, np.int64)  # steps made by then
+    while left > least and moved:
+        moved = False
+        for src in np.argsort(fills, kind="stable").tolist():
+            while left > least and 0 < fills[src] < cap:
+                # equally full bins: the first gives
+                fuller = (fills > fills[src]) | (fills == fills[src]) & (np.arange(len(fills)) > src)
+                fresh = fuller & (fills < cap) & (changed > (-1 if changed[src] > tried[src] else tried[src]))
+                step = _step(src, fresh, bins, fills, where, sizes, cap) if fresh.any() else None
+                if step is None:
+                    tried[src] = now
+                    break
+                to, give, take = step
+                bins[src] = [i for i in bins[src] if i not in give] + take
+                bins[to] = [i for i in bins[to] if i not in take] + give
+                where[give], where[take] = to, src
+                fills[[src, to]] = sizes[bins[src]].sum(), sizes[bins[to]].sum()
+                now, moved = now + 1, True
+                changed[[src, to]] = now
+                left -= not bins[src]
+    return [b for b in bins if b]
+
+
+def _step(src: int, open_: np.ndarray, bins: list[list[int]], fills: np.ndarray, where: np.ndarray, sizes: np.ndarray, cap: int) -> tuple[int, list[int], list[int]] | None:
+    """The largest gain with the bins of a mask: (bin, indexes given, indexes taken), or None."""
     mine = bins[src]
-    room = {k: cap - int(fills[k]) for k in open_}
+    room = np.where(open_, cap - fills, -1)
     # a move: the largest of mine that fits, into the bin it fills best
-    for i in sorted(mine, key=lambda i: -sizes[i]):
-        fit = [k for k in open_ if room[k] >= sizes[i]]
-        if fit:
-            return min(fit, key=lambda k: room[k]), [i], []
-    theirs = np.array([i for k in open_ for i in bins[k]])
-    where = np.repeat(open_, [len(bins[k]) for k in open_])
-    have, spare = sizes[theirs], np.array([room[k] for k in where])
+    most = int(room.max())
+    if fit := [i for i in mine if sizes[i] <= most]:
+        i = max(fit, key=lambda i: sizes[i])
+        return int(np.argmin(np.where(room >= sizes[i], room, cap + 1))), [i], []
+    theirs = np.flatnonzero(open_[where] & (where >= 0))
+    theirs = theirs[np.lexsort((sizes[theirs], where[theirs]))]
+    have, spare = sizes[theirs], room[where[theirs]]
     best: tuple[int, int, list[int], list[int]] | None = None
     gifts = [([i], int(sizes[i])) for i in mine] + [([i, j], int(sizes[i] + sizes[j])) for n, i in enumerate(mine) for j in mine[n + 1 :]]
     for give, s in gifts:  # one for one, two for one
         gain = s - have
-        ok = (gain > 0) & (gain <= spare)
-        if ok.any():
-            at = int(np.argmax(np.where(ok, gain, 0)))
-            if best is None or gain[at] > best[0]:
-                best = (int(gain[at]), int(where[at]), give, [int(theirs[at])])
+        gain[(gain <= 0) | (gain > spare)] = 0
+        at = int(np.argmax(gain))
+        if gain[at] > (best[0] if best else 0):
+            best = (int(gain[at]), int(where[theirs[at]]), give, [int(theirs[at])])
     if best is None:
+        base = where[theirs] * (cap + 1)
         for i in mine:  # one for two
-            for k in open_:
-                own = sorted(bins[k], key=lambda j: sizes[j])
-                values = sizes[own]
-                for n, first in enumerate(own):
-                    at = int(np.searchsorted(values, sizes[i] - values[n], "left")) - 1  # the largest that leaves a gain
-                    if at > n and 0 < (gain := int(sizes[i] - values[n] - values[at])) <= room[k] and (best is None or gain > best[0]):
-                        best = (gain, k, [i], [first, own[at]])
+            # the largest partner in the same bin that leaves a gain
+            other = np.searchsorted(base + have, base + np.maximum(sizes[i] - have, 0), "left") - 1
+            gain = np.where(other > np.arange(len(theirs)), sizes[i] - have - have[other], 0)
+            gain[(gain <= 0) | (gain > spare)] = 0
+            at = int(np.argmax(gain))
+            if gain[at] > (best[0] if best else 0):
+                best = (int(gain[at]), int(where[theirs[at]]), [i], [int(theirs[at]), int(theirs[other[at]])])
     return best and best[1:]
 
 

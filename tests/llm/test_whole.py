@@ -1,6 +1,9 @@
 """Cases in which nothing of the whole may be lost."""
 
+import numpy as np
+
 import corpus_pipeline
+from rasterloom.llm import packing
 
 
 def test_near_duplicates_judges_rows_not_ids(ready):
@@ -9,3 +12,10 @@ def test_near_duplicates_judges_rows_not_ids(ready):
     docs = ready.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r["doc_id"] or 0), r["text"] or "") for r in corpus_pipeline.near_duplicates(ready, docs, "").collect())
     assert got == sorted([(0, words("a")), (1, words("a")), (3, words("b")), (4, words("c")), (4, words("d")), (6, ""), (6, ""), (7, "")])
+
+
+def test_local_search_goes_on_past_stuck_bins():
+    sizes = np.array([60] * 20 + [5] * 13 + [62, 33] * 13)
+    bins = packing.local_search([*[[i] for i in range(20)], list(range(20, 33)), *[[i, i + 1] for i in range(33, 59, 2)]], sizes, 100)
+    assert len(bins) == 33 and sorted(i for b in bins for i in b) == list(range(len(sizes)))
+    assert max(int(sizes[b].sum()) for b in bins) <= 100
