@@ -2,8 +2,10 @@
 
 Blocks of text pass points for their length and commas to their ancestors, less with each
 step up; an element's points are discounted by the share of its text that is links. The best
-element is kept with those of its siblings that score well or read like paragraphs. What is never
-article (menus, forms, notices, adverts, reader comments and the like) is left out beforehand.
+element is kept with the headings and the text of few links beside it and its ancestors. An
+article or main element says itself where the article ends: beside it only headings, others of
+its kind and what scores well or reads like paragraphs are kept. What is never article (menus,
+forms, notices, adverts, reader comments and the like) is left out beforehand.
 """
 
 from __future__ import annotations
@@ -34,7 +36,10 @@ OTHER = {
     "pagination", "popup", "promo", "promoted", "promotion", "related", "reply", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "skyscraper", "social", "sponsor", "sponsored", "subscribe",
     "toolbar", "widget",
 }
-_ROOTS = {"body", "html", "article", "main"}
+ARTICLE, HEADINGS = ("article", "main"), ("h1", "h2", "h3", "h4", "h5", "h6")
+_ROOTS = {"body", "html", *ARTICLE}
+#: Share of links from which text beside the article isn't part of it.
+LINKED = 0.25
 
 
 def _excluded(tag: str, attributes: str, article: bool) -> bool:
@@ -117,7 +122,7 @@ class Page:
         self.parents.append(self._stack[-1])
         self.tags.append(tag)
         self._stack.append(len(self.tags) - 1)
-        self._within.append((out, article or tag in ("article", "main"), link or tag == "a"))
+        self._within.append((out, article or tag in ARTICLE, link or tag == "a"))
         self._out += out
 
     def _read(self, html: str) -> None:
@@ -149,7 +154,7 @@ class Page:
         self._flush()
 
     def main_text(self) -> str:
-        """The blocks of the best element and its kept siblings, in page order, one a line."""
+        """The blocks of the best element and what is kept beside it and its ancestors, in page order, one a line."""
         if not self.blocks:
             return ""
         size = len(self.tags)
@@ -157,7 +162,7 @@ class Page:
         for at, text, linked in self.blocks:
             n = len(text)
             gain = 1 + text.count(",") + min(n / 100, 3)
-            up, step = at if self.tags[at] not in ("p", "pre", "blockquote", "td", "li", "h1", "h2", "h3", "h4", "h5", "h6") else self.parents[at], 1
+            up, step = at if self.tags[at] not in ("p", "pre", "blockquote", "td", "li", *HEADINGS) else self.parents[at], 1
             while up > 0:
                 points[up] += gain / step
                 up, step = self.parents[up], 2 * step
@@ -167,22 +172,31 @@ class Page:
                 at = self.parents[at]
         score = [p * (1 - k / c) if c else 0.0 for p, c, k in zip(points, chars, links, strict=True)]
         for i, tag in enumerate(self.tags):
-            if tag in ("article", "main") and score[i] > 0:
+            if tag in ARTICLE and score[i] > 0:
                 score[i] = score[i] * 2 + 10  # says itself that it is the article
         best = max(range(size), key=lambda i: (score[i], -i))
         if score[best] <= 0:
             best = 0
+        # from the best element up to the page, or to what says itself that it is the article
+        path = [best] if best else []
+        while path and self.tags[path[-1]] not in ARTICLE and self.parents[path[-1]] > 0:
+            path.append(self.parents[path[-1]])
+        on = {self.parents[i]: i for i in path}
         keep = {best}
         for i in range(1, size):
-            if i != best and self.parents[i] == self.parents[best] and chars[i] and best:
-                density = links[i] / chars[i]
-                reads = self.tags[i] == "p" and (chars[i] > 80 and density < 0.25)
-                if reads or score[i] >= max(10, 0.2 * score[best]) and density < 0.25:
-                    keep.add(i)
+            beside = on.get(self.parents[i])
+            if beside in (None, i) or not chars[i]:
+                continue
+            light = links[i] / chars[i] < LINKED
+            if self.tags[beside] in ARTICLE:
+                light = self.tags[i] in ARTICLE or light and (self.tags[i] == "p" and chars[i] > 80 or score[i] >= max(10, 0.2 * score[beside]))
+            if light or self.tags[i] in HEADINGS:
+                keep.add(i)
+        loose = {p for p, i in on.items() if self.tags[i] not in ARTICLE}  # elements whose own text is beside the path
         inside = [False] * size
         for i in range(size):
             inside[i] = i in keep or i > 0 and inside[self.parents[i]]
-        return "\n".join(text for at, text, _ in self.blocks if inside[at])
+        return "\n".join(text for at, text, linked in self.blocks if inside[at] or at in loose and linked / len(text) < LINKED)
 
 
 def main_text(html: str | None) -> str:

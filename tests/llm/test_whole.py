@@ -1,9 +1,10 @@
 """Cases in which nothing of the whole may be lost."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from rasterloom.llm import packing
+from rasterloom.llm import html_text, packing
 
 
 def test_near_duplicates_judges_rows_not_ids(ready):
@@ -19,3 +20,17 @@ def test_local_search_goes_on_past_stuck_bins():
     bins = packing.local_search([*[[i] for i in range(20)], list(range(20, 33)), *[[i, i + 1] for i in range(33, 59, 2)]], sizes, 100)
     assert len(bins) == 33 and sorted(i for b in bins for i in b) == list(range(len(sizes)))
     assert max(int(sizes[b].sum()) for b in bins) <= 100
+
+
+LONG = "words, and more words, of an article that goes on, " * 12
+OUTSIDE = {
+    "<body><h1>T</h1><div class=post><p>one, a</p><p>two, b</p><p>three</p></div></body>": "T\none, a\ntwo, b\nthree",
+    f"<body><p>Lead.</p><div><p>{LONG}</p><p>{LONG}</p></div><div><p>Short end.</p></div></body>": f"Lead.\n{LONG.strip()}\n{LONG.strip()}\nShort end.",
+    f"<body>Bare lead.<div><h2><a href=x>Head</a></h2></div><div><h1><a href=x>T</a></h1><div><p>{LONG}</p></div><ul><li><a href=a>one</a></li></ul></div></body>": f"Bare lead.\nT\n{LONG.strip()}",
+    f"<article><h1>T</h1><div><p>Lead.</p><div><p>{LONG}</p><p>{LONG}</p></div></div></article><div>No part.</div>": f"T\nLead.\n{LONG.strip()}\n{LONG.strip()}",
+}
+
+
+@pytest.mark.parametrize("page", OUTSIDE)
+def test_pages_keep_text_beside_the_best_element(page):
+    assert html_text.main_text(page) == OUTSIDE[page]
