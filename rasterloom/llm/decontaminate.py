@@ -7,7 +7,8 @@ Candidates are verified by exact weighted Jaccard similarity. Windows whose shin
 with items of their size can't reach the threshold are never fingerprinted: that bound is exact.
 
 The benchmark goes to the tasks in blocks of bounded size, one pass over the documents each;
-documents are never shuffled.
+documents are never shuffled. Weights are those of the whole benchmark: each block is sent the
+shingles of several items, and all others weigh the same.
 """
 
 from __future__ import annotations
@@ -80,6 +81,10 @@ class HammingIndex:
         return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
 
 
+#: Number of a benchmark's items; shingles of several items, sorted, and the number of items of each.
+Whole = tuple[int, np.ndarray, np.ndarray]
+
+
 @dataclass
 class SizeClass:
     """Items of one number of words."""
@@ -97,15 +102,17 @@ class SizeClass:
 class Benchmark:
     """A block of items, ready to be looked up."""
 
-    def __init__(self, ids: list[int], texts: list[str], n: int = 5):
+    def __init__(self, ids: list[int], texts: list[str], n: int = 5, whole: Whole | None = None):
+        """whole: of the benchmark that the block is a part of; None if the block is all of it."""
         self.n = n
         w, _, _ = tokens(pa.array(texts, pa.string()))
         grams, offsets = _text.shingles(w, n)
         sets = [grams[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        every, items = np.unique(np.concatenate([np.unique(s) for s in sets]) if sets else np.zeros(0, _U), return_counts=True)
-        #: A shingle's weight falls with the number of items that have it; unknown ones weigh most.
-        self.every, self.rarity = every, np.log1p(len(sets) / np.maximum(1, items)) if len(sets) else np.zeros(0)
-        self.unknown = float(np.log1p(len(sets)))
+        self.every, items = np.unique(np.concatenate([np.unique(s) for s in sets]) if sets else np.zeros(0, _U), return_counts=True)
+        total, common, items = whole or (len(sets), self.every[items > 1], items[items > 1])
+        #: A shingle's weight falls with the number of items that have it; those of one item weigh as much as unknown ones, most.
+        self.common, self.rarity = common, np.log1p(total / items)
+        self.unknown = float(np.log1p(total))
         self.classes: list[SizeClass] = []
         sizes = w.counts
         for m in np.unique(sizes[sizes > 0]):
@@ -116,8 +123,8 @@ class Benchmark:
             self.classes.append(SizeClass(int(m), np.array(ids)[own], g, weights, HammingIndex(simhash(g, weights)), known, self.weigh(known), float(weights.sum(1).min())))
 
     def weigh(self, grams: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.every, grams), max(0, len(self.every) - 1))
-        return np.where(self.every[at] == grams, self.rarity[at], self.unknown) if len(self.every) else np.full(grams.shape, self.unknown)
+        at = np.minimum(np.searchsorted(self.common, grams), max(0, len(self.common) - 1))
+        return np.where(self.common[at] == grams, self.rarity[at], self.unknown) if len(self.common) else np.full(grams.shape, self.unknown)
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -174,15 +181,34 @@ def matches(texts: pa.Array, bench: Benchmark, threshold: float) -> list[tuple[i
     return [(row, item, start, size, s) for (row, item), (s, start, size) in out.items()]
 
 
-def blocks(benchmark: DataFrame, *, key: str = "item_id", text: str = "text") -> Iterator[tuple[list[int], list[str]]]:
-    """The benchmark's items with a key and a text, in blocks of bounded size."""
+def shared_shingles(items: DataFrame, n: int = 5) -> DataFrame:
+    """(gram, items) of shingles that several rows of items (t) have."""
+
+    def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for rows, _, _ in _text.batches(batch, "t"):
+                grams, offsets = _text.shingles(tokens(rows.column(0))[0], n)
+                for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(_text.signed(np.unique(grams[a:b])))], names=["gram"])
+
+    return items.select("t").mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("items")).filter("items > 1")
+
+
+def blocks(benchmark: DataFrame, *, key: str = "item_id", text: str = "text") -> Iterator[tuple[list[int], list[str], Whole | None]]:
+    """The benchmark's items with a key and a text, in blocks of bounded size, and what holds for all blocks."""
     items = benchmark.select(F.col(key).cast("long").alias("i"), F.col(text).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct()
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     count = max(1, -(-n // ITEMS), -(-chars // CHARS))
+    whole = None
+    if count > 1:
+        shared = shared_shingles(items).toArrow()
+        grams = shared["gram"].to_numpy().astype(np.int64).view(_U)
+        order = np.argsort(grams)
+        whole = (n, grams[order], shared["items"].to_numpy()[order])
     for b in range(count):
         rows = items.filter(F.pmod(F.xxhash64("i"), F.lit(count)) == b).collect()
         rows.sort()
-        yield [r["i"] for r in rows], [r["t"] for r in rows]
+        yield [r["i"] for r in rows], [r["t"] for r in rows], whole
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: float = 0.8) -> DataFrame:
@@ -197,10 +223,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(docs[key].alias("__key"), docs[text].alias("__text"))
     found = None
-    for ids, texts in blocks(benchmark):
+    for ids, texts, whole in blocks(benchmark):
 
-        def run(stream: Iterable[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(ids, texts)
+        def run(stream: Iterable[pa.RecordBatch], ids=ids, texts=texts, whole=whole) -> Iterator[pa.RecordBatch]:
+            bench = Benchmark(ids, texts, whole=whole)
             for batch in stream:
                 for rows, _, _ in _text.batches(batch, "__text"):
                     hits = matches(pc.fill_null(rows.column(1), ""), bench, threshold)
@@ -221,10 +247,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     Rows are judged each by their own text; nulls, empty texts and repeated rows as in find_items().
     """
     names = docs.columns
-    for ids, texts in blocks(benchmark):
+    for ids, texts, whole in blocks(benchmark):
 
-        def run(stream: Iterable[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(ids, texts)
+        def run(stream: Iterable[pa.RecordBatch], ids=ids, texts=texts, whole=whole) -> Iterator[pa.RecordBatch]:
+            bench = Benchmark(ids, texts, whole=whole)
             for batch in stream:
                 for rows, _, _ in _text.batches(batch, text):
                     hit = {h[0] for h in matches(pc.fill_null(rows.column(names.index(text)), ""), bench, threshold)}

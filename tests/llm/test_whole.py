@@ -1,10 +1,12 @@
 """Cases in which nothing of the whole may be lost."""
 
+import random
+
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from rasterloom.llm import html_text, packing
+from rasterloom.llm import decontaminate, html_text, packing
 
 
 def test_near_duplicates_judges_rows_not_ids(ready):
@@ -34,3 +36,26 @@ OUTSIDE = {
 @pytest.mark.parametrize("page", OUTSIDE)
 def test_pages_keep_text_beside_the_best_element(page):
     assert html_text.main_text(page) == OUTSIDE[page]
+
+
+def test_similarity_does_not_depend_on_blocks(ready, monkeypatch):
+    r = random.Random(3)
+    phrase = [" ".join(f"p{p}x{i}" for i in range(12)) for p in range(6)]
+    items = [[*" ".join(r.sample(phrase, 2)).split(), *[f"i{n}x{i}" for i in range(30)]] for n in range(24)]
+    docs = []
+    for own in items:
+        for change in range(1, 5):
+            words = list(own)
+            for at in r.sample(range(len(words)), change):
+                words[at : at + 1] = [f"new{r.random()}"]
+            docs.append(" ".join(words))
+            docs.append(" ".join([*phrase[r.randrange(6)].split(), *own[12:]]))
+    bench = ready.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(30, "")], "item_id long, text string")
+    frame = ready.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = lambda: sorted((*r[:4], round(r[4], 12)) for r in decontaminate.find_items(frame, bench).collect())
+    one = found()
+    kept = decontaminate.decontaminate(frame, bench).count()
+    assert one and kept
+    monkeypatch.setattr(decontaminate, "ITEMS", 4)
+    assert found() == one
+    assert decontaminate.decontaminate(frame, bench).count() == kept
