@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,5 +32,20 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def discarded_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the file system remove a folder that exists when the session's JVM ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df as compressed Parquet in the shared folder: cuts the lineage, and later reads take only the columns they need."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    discarded_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -19,10 +19,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm import _text
+from rasterloom.llm._session import saved
 
 _U = np.uint64
 
@@ -87,65 +88,72 @@ def _occurrences(docs: DataFrame, window: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, context long, row long, first int, last int")
 
 
-def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """texts (row, __text, want: array of anchor, context, first, last) to (anchor, context, nth, hash)."""
+def _windows(texts: DataFrame, text: str, window: int) -> DataFrame:
+    """texts (__row, d: a struct with the text; want: array of context, first, last, many) to (context, many, hashes: array<long>), the windows' own."""
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            for rows, raw, bounds in _text.batches(batch, "__text"):
+            told = pa.RecordBatch.from_arrays([batch.column(1).field(text), batch.column(2)], names=["text", "want"])
+            for rows, raw, bounds in _text.batches(told, "text"):
                 w = _text.words(raw, bounds)
-                want = rows.column(rows.schema.get_field_index("want"))
+                want = rows.column(1)
                 of = np.repeat(np.arange(len(rows)), np.asarray(want.value_lengths()))
                 flat = want.flatten()
                 first = np.asarray(flat.field("first")).astype(np.int64)
                 size = np.asarray(flat.field("last")).astype(np.int64) - first + 1
-                at = np.repeat(np.arange(len(flat)), size)
-                nth = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-                hashes = _text.windows(w.hashes, window)[w.first[of[at]] + first[at] + nth] if len(at) else np.zeros(0, _U)
-                where = pa.array(at)
+                edges = np.concatenate([[0], np.cumsum(size)])
+                at = np.repeat(w.first[of] + first - edges[:-1], size) + np.arange(edges[-1])
+                hashes = _text.windows(w.hashes, window)[at] if len(at) else np.zeros(0, _U)
                 yield pa.RecordBatch.from_arrays(
-                    [flat.field("anchor").take(where), flat.field("context").take(where), pa.array(nth.astype(np.int32)), pa.array(_text.signed(hashes))],
-                    names=["anchor", "context", "nth", "hash"],
+                    [flat.field("context"), flat.field("many"), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(_text.signed(hashes)))],
+                    names=["context", "many", "hashes"],
                 )
 
-    return texts.mapInArrow(run, "anchor long, context long, nth int, hash long")
+    return texts.select("__row", "d", "want").mapInArrow(run, "context long, many boolean, hashes array<long>")
+
+
+def _half(column: str) -> Column:
+    """A second key that sums aren't dealt by: both sides of a join are dealt anew, so Spark can split hot keys."""
+    return F.shiftrightunsigned(column, 32).alias("half")
 
 
-def repeats(docs: DataFrame, *, window: int = 35, k: int = 10) -> DataFrame:
-    """docs: (row long, unique; __text). Result: (row, starts: array<struct<first, last>>).
+def repeats(docs: DataFrame, *, text: str, window: int = 35, k: int = 10) -> DataFrame:
+    """docs: (__row long, equal only where texts are; d: a struct with the text). Result: (__row, starts: array<struct<first, last>>).
 
-    Each struct is a run of starts of repeated windows, counted in words from 0.
+    Each struct is a run of starts of repeated windows, counted in words from 0. What is read of
+    docs is dealt by __row as a whole, so a join of docs with the result deals the texts no second time.
     """
-    # a second key, which the sums aren't dealt by: both sides of the join are dealt anew, so Spark can split hot anchors
-    half = F.shiftrightunsigned("anchor", 32).alias("half")
-    every = _occurrences(docs, window, k)
-    shared = every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", half)
-    seeds = every.select("*", half).join(shared, ["anchor", "half"]).drop("half").checkpoint()
-    contexts = seeds.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("one"))
-    several = contexts.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1").select("anchor")
-    contexts = contexts.join(several, "anchor", "left").select(contexts.anchor, "context", "n", "one", several.anchor.isNotNull().alias("open")).checkpoint()
+    every = _occurrences(docs.select(F.col("__row").alias("row"), F.col("d")[text].alias("__text")), window, k)
+    shared = every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", _half("anchor"))
+    seeds = saved(every.select("*", _half("anchor")).join(shared, ["anchor", "half"]).drop("half"))
+    # the words of a context include its anchor's: contexts are told apart by their own hash
+    several = seeds.groupBy("anchor").agg(F.min("context").alias("least"), F.max("context").alias("most")).filter("least < most").select("anchor", _half("anchor"))
+    contexts = seeds.groupBy("anchor", "context").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("row", "first", "last")])
+    contexts = contexts.select("*", _half("anchor")).join(several.withColumn("open", F.lit(True)), ["anchor", "half"], "left")
+    contexts = saved(contexts.select("context", (F.col("n") > 1).alias("many"), "row", "first", "last", F.coalesce("open", F.lit(False)).alias("open")))
     # contexts met twice are repeats in full
-    full = contexts.filter("n > 1").select("anchor", "context", F.array(F.struct(F.lit(0).alias("a"), F.lit(-1).alias("b"))).alias("runs"))
+    full = contexts.filter("many").select("context", F.array(F.struct(F.lit(0).alias("a"), F.lit(-1).alias("b"))).alias("runs"))
     # windows that several contexts of one anchor share
-    want = contexts.filter("open").groupBy("one.row").agg(F.collect_list(F.struct("anchor", "context", "one.first", "one.last")).alias("want"))
-    seen = _windows(docs.join(want, "row").select("row", "__text", "want"), window).checkpoint()
-    twice = seen.groupBy("anchor", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "hash")
-    some = seen.join(twice, ["anchor", "hash"]).join(contexts.filter("n = 1 AND open").select("anchor", "context"), ["anchor", "context"], "left_semi")
-    some = some.groupBy("anchor", "context").agg(F.transform(F.sort_array(F.collect_list("nth")), lambda i: F.struct(i.alias("a"), i.alias("b"))).alias("runs"))
-    found = seeds.join(full.unionByName(some), ["anchor", "context"])
+    want = contexts.filter("open").groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("context", "first", "last", "many")).alias("want"))
+    seen = _windows(docs.select("__row", "d").join(want, "__row"), text, window)
+    seen = seen.select("context", "many", F.posexplode("hashes").alias("nth", "hash"))
+    twice = seen.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash", _half("hash"))
+    some = seen.filter("NOT many").select("context", "nth", "hash", _half("hash")).join(twice, ["hash", "half"])
+    some = some.groupBy("context").agg(F.transform(F.sort_array(F.collect_list("nth")), lambda i: F.struct(i.alias("a"), i.alias("b"))).alias("runs"))
+    found = seeds.select("context", "row", "first", "last").join(full.unionByName(some), "context")
     runs = F.transform("runs", lambda r: F.struct((F.col("first") + r["a"]).alias("first"), F.when(r["b"] < 0, F.col("last")).otherwise(F.col("first") + r["b"]).alias("last")))
-    return found.select("row", F.explode(runs).alias("run")).groupBy("row").agg(F.collect_list("run").alias("starts"))
+    return found.select(F.col("row").alias("__row"), F.explode(runs).alias("run")).groupBy("__row").agg(F.collect_list("run").alias("starts"))
 
 
-def _cut(column: str, window: int, schema: str, names: list[str]):
+def _cut(column: str, window: int, names: list[str]):
     """Takes the repeated windows out of each text."""
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            at_text, at_runs = batch.schema.get_field_index(column), batch.schema.get_field_index("__starts")
-            for rows, raw, bounds in _text.batches(batch, column):
+            told = pa.RecordBatch.from_arrays([*batch.column(0).flatten(), batch.column(1)], names=[*names[:-3], "__starts"])
+            for rows, raw, bounds in _text.batches(told, column):
                 w = _text.words(raw, bounds)
-                runs = rows.column(at_runs)
+                runs = rows.column(rows.num_columns - 1)
                 marks = np.zeros(len(w.hashes) + 1, np.int64)
                 flat = runs.flatten()
                 of = np.repeat(np.arange(len(rows)), np.asarray(runs.value_lengths().fill_null(0)))
@@ -155,7 +163,7 @@ def _cut(column: str, window: int, schema: str, names: list[str]):
                 gone = np.cumsum(marks[:-1]) > 0
                 total = np.concatenate([[0], np.cumsum(gone)])
                 removed = total[w.first[1:]] - total[w.first[:-1]]
-                texts = rows.column(at_text).to_pylist()
+                texts = rows.column(names.index(column)).to_pylist()
                 spans: list[list[dict]] = [[] for _ in texts]
                 for i in np.flatnonzero(removed):
                     a, b = w.first[i], w.first[i + 1]
@@ -163,7 +171,7 @@ def _cut(column: str, window: int, schema: str, names: list[str]):
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
                     spans[i] = [{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)]
                     texts[i] = b" ".join(compress(raw[bounds[i] : bounds[i + 1]].tobytes().split(), ~own)).decode()
-                out = {**dict(zip(rows.schema.names, rows.columns, strict=True)), column: pa.array(texts, pa.string()), "n_words": pa.array(w.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
+                out = {**dict(zip(names[:-3], rows.columns[:-1], strict=True)), column: pa.array(texts, pa.string()), "n_words": pa.array(w.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
                 yield pa.RecordBatch.from_arrays([out[n] for n in names], names=names)
 
     return run
@@ -181,23 +189,19 @@ def with_row(docs: DataFrame, key: str) -> tuple[DataFrame, bool]:
 def dedup_substrings(docs: DataFrame, *, text: str = "text", window: int = 35, k: int = 10, key: str = "doc_id") -> DataFrame:
     """docs without the words that lie in a window of `window` words found anywhere else too.
 
-    Words are what lies between \\x20 and \\x09-\\x0D, compared unchanged. Windows are judged on
+    Words are what lies between \x20 and \x09-\x0D, compared unchanged. Windows are judged on
     the input: each copy of a passage goes, also of one that recurs inside a document. Adds
     n_words, n_removed and spans (word ranges taken out); a text that loses words becomes its
     other words joined by one space, any other text stays as it is. A null text has no words and
     stays null; texts under `window` words never change; an empty table gives an empty result.
     Repeated rows are copies of each other, so their windows go. Columns named as a result are
-    replaced. Rows are told apart by key where it is unique and never null; otherwise they are
-    numbered in a checkpoint of docs.
+    replaced. The key, which may be null or repeat, only deals rows out: rows with the same key
+    and the same text lose the same words, so no numbers for rows are needed.
     """
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "spans")]
-    docs = docs.select(kept)
-    docs, _ = with_row(docs, key)
-    # one exchange of the texts by row serves both joins
-    keys = docs.select(F.col("__row").alias("row"), F.col(text).alias("__text"))
-    found = repeats(keys, window=window, k=k)
-    joined = docs.join(found.select(F.col("row").alias("__row"), F.col("starts").alias("__starts")), "__row", "left")
+    rows = docs.select(F.xxhash64(docs[key], docs[text]).alias("__row"), F.struct(*[docs[c] for c in kept]).alias("d"))
+    found = repeats(rows, text=text, window=window, k=k)
     names = [*kept, "n_words", "n_removed", "spans"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema)
     schema = f"{kinds}, n_words long, n_removed long, spans array<struct<start:int,end:int>>"
-    return joined.select(*kept, "__starts").mapInArrow(_cut(text, window, schema, names), schema)
+    return rows.join(found, "__row", "left").select("d", "starts").mapInArrow(_cut(text, window, names), schema)
