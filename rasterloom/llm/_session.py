@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +39,12 @@ def discarded_at_exit(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df as compressed Parquet in the shared folder: cuts the lineage, and later reads take only the columns they need."""
     spark = df.sparkSession
@@ -49,3 +56,8 @@ def saved(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def half(column: str) -> Column:
+    """A second key that sums aren't dealt by: both sides of a join are dealt anew, so Spark can split hot keys."""
+    return F.shiftrightunsigned(column, 32).alias("half")

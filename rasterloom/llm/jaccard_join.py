@@ -17,19 +17,19 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm import _text
+from rasterloom.llm._session import half, saved
 from rasterloom.llm.components import components
-from rasterloom.llm.substring_dedup import with_row
 
 _U = np.uint64
 
 #: Members of a bucket that still gives pairs.
 PAIRED = 8
 #: Texts in a block of a cluster, and n-grams in it at most unless a single text has more.
-BLOCK, BLOCK_GRAMS = 256, 400_000
+BLOCK, BLOCK_GRAMS = 1024, 400_000
 
 
 def choose_bands(threshold: float, recall: float, most: int = 100) -> tuple[int, int]:
@@ -64,7 +64,7 @@ def band_hashes(grams: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -
 
 
 def _sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(row, same: a hash of the n-gram set, null without words; bands: array<long>)."""
+    """(row, key, same: a hash of the n-gram set, null without words; grams: its size; bands: array<long>) of docs (__row, __key, __text)."""
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -86,11 +86,12 @@ def _sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     same = _text.mix(sums[offsets[1:]] - sums[offsets[:-1]] + size.astype(_U))
                 values = pa.array(_text.signed(hashed).ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(_text.signed(same), mask=size == 0), pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * bands), values)],
-                    names=["row", "same", "bands"],
+                    [part.column(0), part.column(1), pa.array(_text.signed(same), mask=size == 0), pa.array(size), pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * bands), values)],
+                    names=["row", "key", "same", "grams", "bands"],
                 )
 
-    return docs.mapInArrow(run, "row long, same long, bands array<long>")
+    kind = docs.schema["__key"].dataType.simpleString()
+    return docs.select("__row", "__key", "__text").mapInArrow(run, f"row long, key {kind}, same long, grams long, bands array<long>")
 
 
 def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -191,63 +192,101 @@ def _compared(blocks: DataFrame, threshold: float, n: int) -> DataFrame:
     return blocks.groupBy("cluster", "x", "y").applyInPandas(run, "a long, b long, n long")
 
 
-def jaccard_join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
-    """Per row of docs: key, class_id, n_links, n_copies.
+def _keyed(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, Column]:
+    """(__row, __key, __text) of the rows with a key, and __row, which is the same for rows of one key and one text."""
+    row = F.xxhash64(docs[key], docs[text])
+    return docs.select(row.alias("__row"), docs[key].alias("__key"), docs[text].alias("__text")).filter("__key IS NOT NULL"), row
 
-    Rows are linked when the Jaccard similarity of their n-word shingle sets is at least the
-    threshold. class_id: the least key of all rows that links join, directly or not; n_links:
-    to how many other rows this row is linked; n_copies: how many of these have the same shingle
-    set. Words lie between \\x20 and \\x09-\\x0D and are compared unchanged; a text of fewer than
-    n words has one shingle, of all of them. A text that is null or without words is linked to
-    nothing, and so is a row with a null key, whose class_id is null; rows that repeat a key
-    are copies like others. Other columns don't matter. An empty table gives an empty result.
-    recall: of the candidate search for pairs right at the threshold; it is higher above it.
+
+def _classes(named: DataFrame, threshold: float, n: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Sketches of named (__row, __key, __text), one row each, and the kinds of n-gram sets that they have.
+
+    kinds: (same, key: the least of its rows', row: one that has it, copies, root: a number for
+    the class, links: how many rows of other kinds it is linked to).
     """
     bands, rows = choose_bands(threshold, recall)
-    base, renumbered = with_row(docs.select(docs[key].alias("__key"), docs[text].alias("__text")), "__key")
-    named = base.filter(F.col("__key").isNotNull())
-    sketches = _sketches(named.select("__row", "__text"), n, bands, rows).checkpoint()
-    kinds = sketches.filter("same IS NOT NULL").groupBy("same").agg(F.min("row").alias("id"), F.count("*").alias("copies"), F.min("bands").alias("bands")).checkpoint()
+    sketches = saved(_sketches(named, n, bands, rows))
+    kinds = sketches.filter("same IS NOT NULL").groupBy(F.col("same").alias("id")).agg(F.min(F.struct("key", "row")).alias("one"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
+    kinds = saved(kinds.select("id", "one.key", "one.row", "copies", "grams", "bands"))
 
-    # buckets with several representatives
+    # buckets with several kinds
     met = kinds.select("id", F.explode("bands").alias("band"))
     shared = met.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("least")).filter("size > 1")
-    members = met.join(shared, "band").select("band", "id", "size", "least").checkpoint()
+    members = saved(met.select("*", half("band")).join(shared.select("*", half("band")), ["band", "half"]).drop("half"))
     clusters = components(members.filter(F.col("size") > PAIRED).select(F.col("id").alias("a"), F.col("least").alias("b")))
-    clusters = clusters.select("id", F.col("root").alias("cluster")).checkpoint()
+    clusters = saved(clusters.select("id", F.col("root").alias("cluster")))
 
     # pairs from small buckets, but for those inside one cluster
     small = members.filter(F.col("size") <= PAIRED).select("band", "id").join(clusters, "id", "left")
     small = small.groupBy("band").agg(F.sort_array(F.collect_list(F.struct("id", "cluster"))).alias("m"))
     pair = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, PAIRED), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), F.coalesce(x["cluster"] == y["cluster"], F.lit(False)).alias("known")))))
     pairs = small.select(F.explode(pair).alias("p")).select("p.*").filter("NOT known").select("a", "b").distinct()
+    pairs = saved(pairs)
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(clusters.select("id")).distinct()
-    texts = named.join(wanted.withColumnRenamed("id", "__row"), "__row", "left_semi").select(F.col("__row").alias("id"), "__text").checkpoint()
+    wanted = kinds.select("id", F.col("row").alias("__row")).join(wanted, "id")
+    # rows that repeat a key and a text are all found by their __row: one of them is enough
+    texts = saved(named.select("__row", "__text").join(wanted, "__row").groupBy("id").agg(F.first("__text").alias("__text")))
     left = texts.select(F.col("id").alias("a"), F.col("__text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("__text").alias("text_b"))
-    links = _verified(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), threshold, n).checkpoint()
+    links = saved(_verified(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b"), threshold, n))
 
     # clusters in blocks of bounded size: block x against each block y >= x
-    member = clusters.join(kinds.select("id", "copies"), "id").join(texts, "id")
-    sized = clusters.join(texts, "id").groupBy("cluster").agg(F.count("*").alias("members"), F.sum(F.length("__text") / 6).alias("grams"))
-    sized = sized.select("cluster", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    member = member.join(sized, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    member = clusters.join(kinds.select("id", "copies", "grams"), "id")
+    sized = member.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    member = member.select("*", half("cluster")).join(sized.select("*", half("cluster")), ["cluster", "half"])
+    member = member.select("cluster", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "copies").join(texts, "id")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = member.withColumn("o", other).select("cluster", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "id", "copies", "__text")
-    compared = _compared(dealt, threshold, n).checkpoint()
+    compared = saved(_compared(dealt, threshold, n))
 
-    edges = links.unionByName(compared.filter("b IS NOT NULL").select("a", "b"))
-    root = components(edges)
+    root = components(links.unionByName(compared.filter("b IS NOT NULL").select("a", "b")))
     copies = kinds.select("id", "copies")
     weighed = links.join(copies.withColumnsRenamed({"id": "b", "copies": "n"}), "b").select("a", "n")
     weighed = weighed.unionByName(links.join(copies.withColumnsRenamed({"id": "a", "copies": "n"}), "a").select(F.col("b").alias("a"), "n"))
     weighed = weighed.unionByName(compared.filter("b IS NULL").select("a", "n")).groupBy("a").agg(F.sum("n").alias("n"))
-    per_kind = kinds.select("same", "id", "copies").join(weighed.withColumnRenamed("a", "id"), "id", "left").join(root, "id", "left")
-    per_kind = per_kind.select("same", F.coalesce("root", "id").alias("root"), F.coalesce("n", F.lit(0)).alias("n"), "copies")
-    out = sketches.select("row", "same").join(per_kind, "same", "left")
+    out = kinds.select("id", "key", "row", "copies").join(weighed.withColumnRenamed("a", "id"), "id", "left").join(root, "id", "left")
+    return sketches, saved(out.select(F.col("id").alias("same"), "key", "row", "copies", F.coalesce("root", "id").alias("root"), F.coalesce("n", F.lit(0)).alias("links")))
+
+
+def jaccard_join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
+    """Per row of docs: key, class_id, n_links, n_copies.
+
+    Rows are linked when the Jaccard similarity of their n-word shingle sets is at least the
+    threshold. class_id: the least key of all rows that links join, directly or not; n_links:
+    to how many other rows this row is linked; n_copies: how many of these have the same shingle
+    set. Words lie between \x20 and \x09-\x0D and are compared unchanged; a text of fewer than
+    n words has one shingle, of all of them. A text that is null or without words is linked to
+    nothing, and so is a row with a null key, whose class_id is null; rows that repeat a key
+    are copies like others. Other columns don't matter. An empty table gives an empty result.
+    recall: of the candidate search for pairs right at the threshold; it is higher above it. A
+    key column that is named as a result is an error.
+    """
+    if key in ("class_id", "n_links", "n_copies"):
+        raise ValueError(f"the key can't be called {key}: a result is")
+    named, _ = _keyed(docs, text, key)
+    sketches, kinds = _classes(named, threshold, n, recall)
+    least = kinds.groupBy("root").agg(F.min("key").alias("class_id"))
+    kinds = kinds.select("same", "root", "links", "copies", half("root")).join(least.select("*", half("root")), ["root", "half"]).select("same", "class_id", "links", "copies", half("same"))
+    out = sketches.select("key", "same", half("same")).join(kinds, ["same", "half"], "left")
     zero = F.lit(0).cast("long")
-    out = out.select(F.col("row").alias("__row"), F.coalesce("root", "row").alias("root"), F.coalesce(F.col("n") + F.col("copies") - 1, zero).alias("n_links"), F.coalesce(F.col("copies") - 1, zero).alias("n_copies"))
-    joined = base.select("__row", "__key").join(out, "__row", "left")
-    least = joined.filter("__key IS NOT NULL").groupBy("root").agg(F.min("__key").alias("class_id")) if renumbered else None
-    joined = joined.join(least, "root", "left") if renumbered else joined.withColumn("class_id", F.col("root"))
-    return joined.select(F.col("__key").alias(key), "class_id", F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_copies", zero).alias("n_copies"))
+    out = out.select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, zero).alias("n_links"), F.coalesce(F.col("copies") - 1, zero).alias("n_copies"))
+    null = F.lit(None).cast(docs.schema[key].dataType)
+    return out.unionByName(docs.filter(docs[key].isNull()).select(null.alias(key), null.alias("class_id"), zero.alias("n_links"), zero.alias("n_copies")))
+
+
+def without_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
+    """docs with one row of each class of jaccard_join(): that of the least key.
+
+    Rows are judged by their own text, whatever their key: of rows with the least key but
+    different texts in one class one stays, and of rows that repeat a key and a text one stays.
+    Rows with a null key all stay, and texts without words are copies of nothing else.
+    Columns named __row or __rest can't be kept. An empty table gives an empty result.
+    """
+    named, row = _keyed(docs, text, key)
+    sketches, kinds = _classes(named, threshold, n, recall)
+    first = kinds.groupBy("root").agg(F.min(F.struct("key", "row")).alias("first")).select("first.row")
+    bare = sketches.filter("same IS NULL").select("row").distinct()
+    stay = first.unionByName(bare).select(F.col("row").alias("__row"))
+    every = docs.filter(docs[key].isNotNull()).select(row.alias("__row"), F.struct(*docs.columns).alias("__rest"))
+    kept = every.join(stay, "__row").groupBy("__row").agg(F.first("__rest").alias("__rest")).select("__rest.*")
+    return kept.unionByName(docs.filter(docs[key].isNull()))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rasterloom.llm import chat_format, decontaminate, html_text, jaccard_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, warc
-from rasterloom.llm._session import prepared, shared_folder, table
+from rasterloom.llm._session import discarded_at_exit, prepared, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -110,6 +110,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(warc.as_records(table(spark, sf_dir, "pages")), path)
+    discarded_at_exit(spark, path)
     return warc.read_warc(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -19,11 +19,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm import _text
-from rasterloom.llm._session import saved
+from rasterloom.llm._session import half, saved
 
 _U = np.uint64
 
@@ -112,11 +112,6 @@ def _windows(texts: DataFrame, text: str, window: int) -> DataFrame:
     return texts.select("__row", "d", "want").mapInArrow(run, "context long, many boolean, hashes array<long>")
 
 
-def _half(column: str) -> Column:
-    """A second key that sums aren't dealt by: both sides of a join are dealt anew, so Spark can split hot keys."""
-    return F.shiftrightunsigned(column, 32).alias("half")
-
-
 def repeats(docs: DataFrame, *, text: str, window: int = 35, k: int = 10) -> DataFrame:
     """docs: (__row long, equal only where texts are; d: a struct with the text). Result: (__row, starts: array<struct<first, last>>).
 
@@ -124,12 +119,12 @@ def repeats(docs: DataFrame, *, text: str, window: int = 35, k: int = 10) -> Dat
     docs is dealt by __row as a whole, so a join of docs with the result deals the texts no second time.
     """
     every = _occurrences(docs.select(F.col("__row").alias("row"), F.col("d")[text].alias("__text")), window, k)
-    shared = every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", _half("anchor"))
-    seeds = saved(every.select("*", _half("anchor")).join(shared, ["anchor", "half"]).drop("half"))
+    shared = every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", half("anchor"))
+    seeds = saved(every.select("*", half("anchor")).join(shared, ["anchor", "half"]).drop("half"))
     # the words of a context include its anchor's: contexts are told apart by their own hash
-    several = seeds.groupBy("anchor").agg(F.min("context").alias("least"), F.max("context").alias("most")).filter("least < most").select("anchor", _half("anchor"))
+    several = seeds.groupBy("anchor").agg(F.min("context").alias("least"), F.max("context").alias("most")).filter("least < most").select("anchor", half("anchor"))
     contexts = seeds.groupBy("anchor", "context").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("row", "first", "last")])
-    contexts = contexts.select("*", _half("anchor")).join(several.withColumn("open", F.lit(True)), ["anchor", "half"], "left")
+    contexts = contexts.select("*", half("anchor")).join(several.withColumn("open", F.lit(True)), ["anchor", "half"], "left")
     contexts = saved(contexts.select("context", (F.col("n") > 1).alias("many"), "row", "first", "last", F.coalesce("open", F.lit(False)).alias("open")))
     # contexts met twice are repeats in full
     full = contexts.filter("many").select("context", F.array(F.struct(F.lit(0).alias("a"), F.lit(-1).alias("b"))).alias("runs"))
@@ -137,8 +132,8 @@ def repeats(docs: DataFrame, *, text: str, window: int = 35, k: int = 10) -> Dat
     want = contexts.filter("open").groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("context", "first", "last", "many")).alias("want"))
     seen = _windows(docs.select("__row", "d").join(want, "__row"), text, window)
     seen = seen.select("context", "many", F.posexplode("hashes").alias("nth", "hash"))
-    twice = seen.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash", _half("hash"))
-    some = seen.filter("NOT many").select("context", "nth", "hash", _half("hash")).join(twice, ["hash", "half"])
+    twice = seen.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash", half("hash"))
+    some = seen.filter("NOT many").select("context", "nth", "hash", half("hash")).join(twice, ["hash", "half"])
     some = some.groupBy("context").agg(F.transform(F.sort_array(F.collect_list("nth")), lambda i: F.struct(i.alias("a"), i.alias("b"))).alias("runs"))
     found = seeds.select("context", "row", "first", "last").join(full.unionByName(some), "context")
     runs = F.transform("runs", lambda r: F.struct((F.col("first") + r["a"]).alias("first"), F.when(r["b"] < 0, F.col("last")).otherwise(F.col("first") + r["b"]).alias("last")))
@@ -177,15 +172,6 @@ def _cut(column: str, window: int, names: list[str]):
     return run
 
 
-def with_row(docs: DataFrame, key: str) -> tuple[DataFrame, bool]:
-    """docs with __row, a long that is unique and the same each time docs is read; whether it isn't key."""
-    if key in docs.columns and docs.schema[key].dataType.typeName() in ("long", "integer"):
-        clash = docs.groupBy(key).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(key).isNull())
-        if clash.isEmpty():
-            return docs.withColumn("__row", F.col(key).cast("long")), False
-    return docs.withColumn("__row", F.monotonically_increasing_id()).checkpoint(), True
-
-
 def dedup_substrings(docs: DataFrame, *, text: str = "text", window: int = 35, k: int = 10, key: str = "doc_id") -> DataFrame:
     """docs without the words that lie in a window of `window` words found anywhere else too.
 
