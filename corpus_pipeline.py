@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import decontaminate, jaccard_join, packing, quality_classifier, substring_dedup
-from rasterloom.llm._session import prepared, shared_folder, table
-from rasterloom.llm.substring_dedup import with_row
+from rasterloom.llm._session import discard, discarded_at_exit, prepared, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,18 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the least doc_id; rows with a null doc_id stay."""
-    docs, renumbered = with_row(docs.select(COLUMNS), "doc_id")
-    if not renumbered:
-        gone = jaccard_join.jaccard_join(docs.select(COLUMNS)).filter("class_id <> doc_id").select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
-    # ids repeat or are null: each row is judged by its own text, and rows without words are copies if they repeat an id and a text
-    named = docs.filter("doc_id IS NOT NULL")
-    bare = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    narrow = named.select("__row", "doc_id", bare.alias("bare"), F.when(bare, F.col("text")).alias("blank"))
-    classes = jaccard_join.jaccard_join(named, key="__row").select("__row", "class_id").join(narrow, "__row")
-    first = classes.groupBy(F.when(~F.col("bare"), F.col("class_id")), F.when(F.col("bare"), F.col("doc_id")), "blank").agg(F.min(F.struct("doc_id", "__row")).alias("first"))
-    kept = named.join(first.select("first.__row"), "__row", "left_semi")
-    return kept.select(COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(COLUMNS))
+    return jaccard_join.without_copies(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,11 +62,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of sf_dir."""
+    """All stages on the documents of sf_dir. What a stage wrote goes when the next one has read it, the last result with the session."""
     prepared(spark)
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{n}")
+        if n:
+            discard(spark, f"{base}/{n - 1}")
+        else:
+            discarded_at_exit(spark, base)
         docs = spark.read.parquet(f"{base}/{n}")
     return docs
