@@ -89,6 +89,15 @@ class Words:
         return np.diff(self.first)
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans' bytes."""
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(raw) + 1, _U)
+        np.cumsum(raw.astype(_U) * powers(_BASE, len(raw))[:-1], out=total[1:])
+        h = (total[ends] - total[starts]) * powers(pow(_BASE, -1, 2**64), len(raw))[starts]
+        return mix(h + (ends - starts).astype(_U) * _U(0xA24BAED4963EE407))
+
+
 def words(raw: np.ndarray, bounds: np.ndarray, gaps: np.ndarray = SPACE) -> Words:
     """The words of each row, split at the bytes marked in gaps, with 64-bit hashes."""
     if not len(raw):
@@ -101,12 +110,7 @@ def words(raw: np.ndarray, bounds: np.ndarray, gaps: np.ndarray = SPACE) -> Word
     head, tail = bounds[:-1][full], bounds[1:][full] - 1
     begin[head], fin[tail] = word[head], word[tail]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(fin) + 1
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, _U)
-        np.cumsum(raw.astype(_U) * powers(_BASE, len(raw))[:-1], out=total[1:])
-        h = (total[ends] - total[starts]) * powers(pow(_BASE, -1, 2**64), len(raw))[starts]
-        h = mix(h + (ends - starts).astype(_U) * _U(0xA24BAED4963EE407))
-    return Words(starts, ends, h, np.searchsorted(starts, bounds))
+    return Words(starts, ends, span_hashes(raw, starts, ends), np.searchsorted(starts, bounds))
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:

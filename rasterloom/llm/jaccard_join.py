@@ -29,7 +29,7 @@ _U = np.uint64
 #: Members of a bucket that still gives pairs.
 PAIRED = 8
 #: Texts in a block of a cluster, and n-grams in it at most unless a single text has more.
-BLOCK, BLOCK_GRAMS = 1024, 400_000
+BLOCK, BLOCK_GRAMS = 512, 400_000
 
 
 def choose_bands(threshold: float, recall: float, most: int = 100) -> tuple[int, int]:

@@ -4,9 +4,9 @@ Documents become pieces of at most `length` tokens. Full pieces are sequences al
 The others are dealt at random over shards of bounded size, each packed by itself: best fit
 in decreasing size, then a swap-based local search that moves documents, exchanges one for
 one, or two for one between underfull sequences, always from a sequence to a fuller one, so
-the sum of squared fills rises until sequences run empty. What each shard leaves in its
-poorly filled sequences meets again in a second round over many shards. Only sizes and keys are
-shuffled, never token ids.
+the sum of squared fills rises until sequences run empty. What the shards leave in their
+poorly filled sequences meets again in a second round, in shards of the same size. Only sizes
+and keys are shuffled, never token ids.
 """
 
 from __future__ import annotations
@@ -19,28 +19,25 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces in a shard, and shards whose rests meet in one task of the second round.
-SHARD, MERGED = 8000, 500
-#: A sequence filled less than this joins the second round.
-POOR = 0.98
+from rasterloom.llm import _text
+from rasterloom.llm._session import saved
+
 #: White-space-led chunks whose ids a worker keeps.
 KNOWN = 500_000
 
 
 class ChunkIds:
-    """Ids of chunks between white space, as little-endian unsigned 32-bit bytes.
+    """Ids of chunks between white space.
 
     Only for tokenizers that lower the case, never join text across white space and drop it.
     Each distinct chunk is made of words and signs; each distinct one of these is encoded once.
+    Chunks are known by 64-bit hashes; their ids lie one after another in a pool.
     """
 
-    #: Python's split() takes these for white space, the tokenizer doesn't.
-    _CONTROL = re.compile("[\x1c-\x1f]")
     #: Chunks that Python lowers and splits just as the tokenizer does; others are encoded whole.
     _PLAIN = re.compile("[!-~\xa1-\xac\xae-\u012f\u0131-\u024f]+")
     _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -51,55 +48,67 @@ class ChunkIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        probe = ["Ab", "ab", "a b", "a", "b", " \n\ta\x0b\x0c\r"]
+        upper, lower, both, a, b, spaced = (e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False))
+        if upper != lower or both != [*a, *b] or spaced != a:
+            raise ValueError(f"{path}: not a tokenizer that lowers the case and drops white space")
+        self.known: dict[int, int] = {}  # hash of a chunk to its place in edges
+        self.edges, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
         self.parts: dict[str, bytes] = {}
-        self.fresh: list[str] = []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: list[str]) -> None:
-        """Puts chunks into the table."""
-        plain, whole = {}, []
-        for c in chunks:
-            if self._PLAIN.fullmatch(c) and "<|" not in c:
-                plain[c] = self._PARTS.findall(c.lower())
-            else:
-                whole.append(c)
-        self.known.update(zip(whole, self.encode(whole), strict=True))
-        self.fresh = new = list(set().union(*plain.values()) - self.parts.keys())
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, as unsigned 32-bit."""
+        fullmatch = self._PLAIN.fullmatch
+        out: list[bytes] = [b""] * len(chunks)
+        whole = [i for i, c in enumerate(chunks) if not fullmatch(c) or "<|" in c]
+        for i, ids in zip(whole, self.encode([chunks[i] for i in whole]), strict=True):
+            out[i] = ids
+        apart = set(whole)
+        find = self._PARTS.findall
+        plain = [(i, find(c.lower())) for i, c in enumerate(chunks) if i not in apart]
+        new = list({x for _, p in plain for x in p} - self.parts.keys())
         for at in range(0, len(new), 1000):
             some = new[at : at + 1000]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             word = np.array(e.word_ids, np.int64)
-            ids = np.array(e.ids, "<u4")
             edges = np.searchsorted(word, np.arange(len(some) + 1))
             if len(word) and word[-1] == len(some) - 1 and (np.diff(edges) > 0).all():
-                raw, edges = ids.tobytes(), (edges * 4).tolist()
+                raw, edges = array("I", e.ids).tobytes(), (edges * 4).tolist()
                 self.parts.update((w, raw[a:b]) for w, a, b in zip(some, edges, edges[1:], strict=False))
             else:  # a part that the tokenizer splits again
                 self.parts.update(zip(some, self.encode(some), strict=True))
         get = self.parts.__getitem__
-        self.known.update((c, b"".join(map(get, p))) for c, p in plain.items())
-
-    def ids(self, texts: list[str], plain: bool = False) -> list[bytes]:
-        """plain: no text has a character that only Python takes for white space."""
-        odd = [] if plain else [i for i, t in enumerate(texts) if self._CONTROL.search(t)]
-        chunks = [t.split() for t in texts]
-        for i in odd:
-            chunks[i] = []
-        missing = list(set().union(*chunks) - self.known.keys())
-        self.learn(missing)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, c)) for c in chunks]
-        for i, ids in zip(odd, self.encode([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        for table, new in ((self.known, missing), (self.parts, self.fresh)):
-            if len(table) > KNOWN:  # what came first is frequent; what is new goes again
-                for k in new:
-                    del table[k]
+        for i, p in plain:
+            out[i] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
+        if len(self.parts) > KNOWN:  # what came first is frequent; what is new goes again
+            for k in new:
+                del self.parts[k]
         return out
 
+    def ids(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, one after another, and where each text's begin and the last one's end."""
+        w = _text.words(raw, bounds)
+        distinct, at, of = np.unique(w.hashes, return_index=True, return_inverse=True)
+        place = np.array([self.known.get(h, -1) for h in distinct.tolist()], np.int64)
+        missing = np.flatnonzero(place < 0)
+        had, edges, pool = len(self.known), self.edges, self.pool
+        if len(missing):
+            whole = raw.tobytes()
+            new = self.learn([whole[a:b].decode() for a, b in zip(w.starts[at[missing]].tolist(), w.ends[at[missing]].tolist(), strict=True)])
+            place[missing] = had + np.arange(len(missing))
+            edges = np.concatenate([edges, edges[-1] + np.cumsum([len(x) // 4 for x in new])])
+            pool = np.concatenate([pool, np.frombuffer(b"".join(new), np.uint32)])
+            if had + len(missing) <= KNOWN:
+                self.known.update(zip(distinct[missing].tolist(), place[missing].tolist(), strict=True))
+                self.edges, self.pool = edges, pool
+        place = place[of]
+        size = edges[place + 1] - edges[place]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return pool[np.repeat(edges[place] - total[:-1], size) + np.arange(total[-1])], total[w.first]
+
 
 _tokenizers: dict[str, ChunkIds] = {}
 
@@ -117,25 +126,27 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, *, text: str = "text", key:
     """(key, piece, start, length, ids) per piece; ids: little-endian unsigned 32-bit.
 
     A null or empty text is the end token alone. Texts longer than a sequence are cut into
-    full pieces and a rest. Other columns are dropped; null keys and repeated rows are kept.
+    full pieces and a rest; a very long one costs memory for its bytes and ids once. Other
+    columns are dropped; null keys and repeated rows are kept. The tokenizer must be one of
+    those that ChunkIds is for, else a ValueError tells.
     """
     source = docs.select(docs[key].alias("__key"), docs[text].alias("__text"))
-    tail = int(end).to_bytes(4, "little")
 
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from rasterloom.llm._text import batches
-
         of = tokenizer_for(tokenizer)
         for batch in stream:
-            for rows, raw, _ in batches(batch, "__text", 4_000_000):
-                plain = not ((raw >= 0x1C) & (raw <= 0x1F)).any()
-                ids = [x + tail for x in of.ids(pc.fill_null(rows.column(1), "").to_pylist(), plain)]
-                cut = [-(-len(x) // (4 * length)) for x in ids]
-                row = np.repeat(np.arange(len(ids)), cut)
-                piece = np.concatenate([np.arange(n) for n in cut])
-                data = [ids[i][4 * length * p : 4 * length * (p + 1)] for i, p in zip(row, piece, strict=True)]
+            for rows, raw, bounds in _text.batches(batch, "__text", 1_500_000):
+                ids, edges = of.ids(raw, bounds)
+                ids = np.insert(ids, edges[1:], np.uint32(end)).astype("<u4")  # the end token after each text
+                size = np.diff(edges) + 1
+                cut = -(-size // length)
+                row = np.repeat(np.arange(len(rows)), cut)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(cut) - cut, cut)
+                part = np.minimum(size[row] - piece * length, length)
+                where = np.concatenate([[0], np.cumsum(part)]) * 4
+                data = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(where.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * length, pa.int64()), pa.array([len(x) // 4 for x in data], pa.int64()), pa.array(data, pa.binary())],
+                    [rows.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * length, pa.int64()), pa.array(part, pa.int64()), data],
                     names=[key, "piece", "start", "length", "ids"],
                 )
 
@@ -243,39 +254,38 @@ def pack_sizes(sizes: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.
     return which, offset, fill
 
 
-def pack(pieces: DataFrame, *, size: str = "length", length: int = 4096) -> DataFrame:
+def pack(pieces: DataFrame, *, size: str = "length", length: int = 4096, shard: int = 8000, poor: float = 0.98) -> DataFrame:
     """pieces with sequence_id and offset: every row once, no sequence longer than length.
 
     Rows of a null size or one outside 1..length get null for both. Equal sizes, repeated rows
     and null keys don't matter: rows are told apart by place. Columns named as a result are
-    replaced; an empty table gives an empty result.
+    replaced; an empty table gives an empty result. shard: about how many pieces are packed
+    together, in both rounds; pieces of sequences filled less than poor meet in the second one.
     """
     kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    base = pieces.select(kept).withColumn("__row", F.monotonically_increasing_id()).checkpoint()
+    base = saved(pieces.select(kept).withColumn("__row", F.monotonically_increasing_id()))
     good = F.coalesce(F.col(size).between(1, length), F.lit(False))
-    n = base.filter(good & (F.col(size) < length)).count()
-    shards = max(1, -(-n // SHARD))
     null = F.lit(None).cast("long")
     full = base.filter(F.col(size) == length).withColumns({"sequence_id": -F.col("__row") - 1, "offset": F.lit(0).cast("long")})
     bad = base.filter(~good).withColumns({"sequence_id": null, "offset": null})
-    small = base.filter(good & (F.col(size) < length)).select("__row", F.col(size).cast("long").alias("__size"), F.pmod(F.xxhash64("__row"), F.lit(shards)).alias("__shard"))
+    small = base.filter(good & (F.col(size) < length)).select("__row", F.col(size).cast("long").alias("__size"))
 
     def bins(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("__row", ignore_index=True)
         which, offset, fill = pack_sizes(rows["__size"].to_numpy(), length)
         return rows.assign(__bin=which, __offset=offset, __fill=fill)
 
-    schema = "__row long, __size long, __shard long, __bin long, __offset long, __fill long"
-    first = small.groupBy("__shard").applyInPandas(bins, schema)
-    wide = F.lit(2 * SHARD)  # sequences of a shard are fewer
-    if shards > 1:
-        first = first.checkpoint()
-        poor = F.col("__fill") < POOR * length
-        again = first.filter(poor).select("__row", "__size", F.floor(F.col("__shard") / MERGED).alias("__shard"))
-        again = again.groupBy("__shard").applyInPandas(bins, schema)
-        second = again.withColumn("__id", F.lit(shards) * wide + F.col("__shard") * MERGED * wide + F.col("__bin"))
-        first = first.filter(~poor).withColumn("__id", F.col("__shard") * wide + F.col("__bin")).unionByName(second)
-    else:
-        first = first.withColumn("__id", F.col("__bin"))
-    placed = base.join(first.select("__row", F.col("__id").alias("sequence_id"), F.col("__offset").alias("offset")), "__row")
+    def packed(rows: DataFrame, groups: int, turn: int) -> DataFrame:
+        dealt = rows.select("__row", "__size", F.pmod(F.xxhash64("__row", F.lit(turn)), F.lit(groups)).alias("__shard"))
+        return dealt.groupBy("__shard").applyInPandas(bins, "__row long, __size long, __shard long, __bin long, __offset long, __fill long")
+
+    shards = max(1, -(-small.count() // shard))
+    first = saved(packed(small, shards, 1))
+    rich = F.col("__fill") >= poor * length
+    rest = first.filter(~rich).select("__row", "__size")
+    second = packed(rest, max(1, -(-rest.count() // shard)), 2)
+    wide = F.lit(1 << 31)  # more sequences than a task can hold
+    placed = first.filter(rich).select("__row", "__offset", (F.col("__shard") * wide + F.col("__bin")).alias("__id"))
+    placed = placed.unionByName(second.select("__row", "__offset", ((F.lit(shards) + F.col("__shard")) * wide + F.col("__bin")).alias("__id")))
+    placed = base.join(placed.select("__row", F.col("__id").alias("sequence_id"), F.col("__offset").alias("offset")), "__row")
     return placed.unionByName(full).unionByName(bad).drop("__row")

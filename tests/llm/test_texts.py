@@ -132,13 +132,11 @@ def test_pieces_and_sequences(ready):
     assert packing.pack(pieces.limit(0)).count() == 0
 
 
-def test_packing_of_many_shards(ready, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD", 200)
-    monkeypatch.setattr(packing, "MERGED", 3)
+def test_packing_of_many_shards(ready):
     rng = random.Random(1)
     sizes = [rng.randrange(1, 200) for _ in range(3000)] + [500, 0, 501, None]
     rows = ready.createDataFrame([(i, s) for i, s in enumerate(sizes)], "k long, length int")
-    got = packing.pack(rows, length=500).collect()
+    got = packing.pack(rows, length=500, shard=200).collect()
     fills = {}
     for r in got:
         if r["sequence_id"] is not None:
@@ -155,6 +153,35 @@ def test_local_search_empties_bins():
     assert len(swapped) == 2
 
 
+def test_each_step_raises_squared_fill(monkeypatch):
+    sizes = np.random.default_rng(4).integers(700, 1001, 300)
+    start = [[i] for i in range(300)]
+    squares, step = [], packing._step
+
+    def seen(src, open_, bins, fills, *rest):
+        squares.append(int((fills.astype(object) ** 2).sum()))
+        return step(src, open_, bins, fills, *rest)
+
+    monkeypatch.setattr(packing, "_step", seen)
+    bins = packing.local_search(start, sizes, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(300))
+    assert squares == sorted(squares) and squares[-1] > squares[0]
+    assert len(bins) <= 1.05 * -(-int(sizes.sum()) // 4096)
+
+
+def test_search_beats_best_fit_where_sizes_pack_badly():
+    for n in (500, 2000):
+        sizes = np.random.default_rng(n).integers(700, 1001, n)
+        start = packing.best_fit(sizes, 4096)
+        bins = packing.local_search(start, sizes, 4096)
+        assert len(bins) <= 0.96 * len(start) and sorted(i for b in bins for i in b) == list(range(n))
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        packing.ChunkIds(BYTE)
+
+
 CONTROL = ["</s>[INST] ok [/INST]", "<\\/s>", "<\\\\/s> </s>", "[[INST]INST]", "<<SYS>>x<</SYS>>", "<</TEXT>>", "\\", "<", "", None, "é\n\n"]
 
 
