@@ -17,7 +17,13 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TAG = re.compile(r"""<!--.*?(?:-->|--!>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>""", re.DOTALL)
+#: What starts markup; the rest of a tag, with quoted values after equals signs only; a comment's end. None goes back over what it has read.
+_MARKUP = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+_COMMENT = re.compile(r"--!?>")
+_ENDS: dict[str, re.Pattern] = {}
+#: Decimal references too long for any character.
+_LONG = re.compile(r"&#0*+[0-9]{8,}+;?")
 _MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.IGNORECASE)
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -57,11 +63,23 @@ def _excluded(tag: str, attributes: str, article: bool) -> bool:
     return False
 
 
+def _unescaped(text: str) -> str:
+    if "&#" in text:
+        text = _LONG.sub(lambda m: "\ufffd" if len(m[0].strip("&#;").lstrip("0")) > 7 else f"&#{m[0].strip('&#;').lstrip('0')};", text)
+    return unescape(text)
+
+
 class Page:
-    """A page's elements as parallel lists, and its blocks of text."""
+    """A page's elements as parallel lists, and its blocks of text.
+
+    Time is linear in the page: nothing walks up the tree for each block, and no text is scanned
+    for an end that isn't there more than once.
+    """
 
     def __init__(self, html: str):
         self.parents, self.tags = [-1], ["#root"]
+        self.holders = [0]  # of each element, the innermost one around its text that isn't inline
+        self._depths: dict[str, list[int]] = {}  # depths of the open elements of each tag
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters of links
         self._parts: list[str] = []
         self._links = 0
@@ -72,12 +90,9 @@ class Page:
 
     def _flush(self) -> None:
         if self._parts:
-            text = " ".join(unescape("".join(self._parts)).split())
+            text = " ".join(_unescaped("".join(self._parts)).split())
             if text:
-                at = self._stack[-1]
-                while self.tags[at] in INLINE:
-                    at = self.parents[at]
-                self.blocks.append((at, text, min(self._links, len(text))))
+                self.blocks.append((self.holders[self._stack[-1]], text, min(self._links, len(text))))
             self._parts, self._links = [], 0
 
     def _text(self, text: str) -> None:
@@ -91,18 +106,14 @@ class Page:
         while len(self._stack) > depth:
             if self.tags[self._stack[-1]] not in INLINE and not self._out:
                 self._flush()
-            self._stack.pop()
+            self._depths[self.tags[self._stack.pop()]].pop()
             self._out -= self._within.pop()[0]
 
     def _find(self, tags: set[str], scope: set[str]) -> int:
         """Depth of the innermost open element of these tags, or 0 if one of scope comes first."""
-        for d in range(len(self._stack) - 1, 0, -1):
-            tag = self.tags[self._stack[d]]
-            if tag in tags:
-                return d
-            if tag in scope:
-                return 0
-        return 0
+        innermost = lambda names: max((at[-1] for t in names if (at := self._depths.get(t))), default=0)
+        d = innermost(tags)
+        return d if d > innermost(scope) else 0
 
     def _open(self, tag: str, attributes: str) -> None:
         inline = tag in INLINE
@@ -121,23 +132,34 @@ class Page:
         out = _excluded(tag, attributes, article)
         self.parents.append(self._stack[-1])
         self.tags.append(tag)
+        self.holders.append(self.holders[self._stack[-1]] if inline else len(self.holders))
+        self._depths.setdefault(tag, []).append(len(self._stack))
         self._stack.append(len(self.tags) - 1)
         self._within.append((out, article or tag in ARTICLE, link or tag == "a"))
         self._out += out
 
     def _read(self, html: str) -> None:
         at, n = 0, len(html)
+        quotes = True  # until a tag's quotes swallow the rest of the page
         while at < n:
-            m = _TAG.search(html, at)
+            m = _MARKUP.search(html, at)
             if m is None:
                 self._text(html[at:])
                 break
-            self._text(html[at : m.start()])
-            at = m.end()
-            if m[2] is None:
+            if m[4] is None:
+                self._text(html[at : m.start()])
+                end = _COMMENT.search(html, m.end()) if m[1] else None
+                at = (end.end() if end else n) if m[1] else html.find(">", m.end()) + 1 or n
                 continue
-            tag = m[2].lower()
-            if m[1]:
+            rest = _REST.match(html, m.end()) if quotes else None
+            quotes = rest is not None
+            end = rest.end() if rest else html.find(">", m.end()) + 1
+            if not end:  # no tag ends any more
+                self._text(html[at:])
+                break
+            self._text(html[at : m.start()])
+            at, tag = end, m[4].lower()
+            if m[3]:
                 if d := self._find({tag}, {"table", "button"} if tag in INLINE else set()):
                     self._close(d)
                 elif tag == "p":
@@ -145,10 +167,12 @@ class Page:
                 elif tag == "br":
                     self._text(" ")
             else:
-                self._open(tag, m[3] or "")
+                self._open(tag, html[m.end() : end - 1])
                 if tag in RAW:
-                    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
-                    at = end.end() if end else n
+                    if tag not in _ENDS:
+                        _ENDS[tag] = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE)
+                    close = _ENDS[tag].search(html, at)
+                    at = html.find(">", close.end()) + 1 or n if close else n
                     self._close(len(self._stack) - 1)
         self._close(1)
         self._flush()
@@ -160,16 +184,16 @@ class Page:
         size = len(self.tags)
         points, chars, links = [0.0] * size, [0] * size, [0] * size
         for at, text, linked in self.blocks:
-            n = len(text)
-            gain = 1 + text.count(",") + min(n / 100, 3)
-            up, step = at if self.tags[at] not in ("p", "pre", "blockquote", "td", "li", *HEADINGS) else self.parents[at], 1
-            while up > 0:
-                points[up] += gain / step
-                up, step = self.parents[up], 2 * step
-            while at >= 0:
-                chars[at] += n
-                links[at] += linked
-                at = self.parents[at]
+            points[at if self.tags[at] not in ("p", "pre", "blockquote", "td", "li", *HEADINGS) else self.parents[at]] += 1 + text.count(",") + min(len(text) / 100, 3)
+            chars[at] += len(text)
+            links[at] += linked
+        # children come after their parents, which get half of their points
+        for i in range(size - 1, 0, -1):
+            up = self.parents[i]
+            points[up] += points[i] / 2
+            chars[up] += chars[i]
+            links[up] += links[i]
+        points[0] = 0.0
         score = [p * (1 - k / c) if c else 0.0 for p, c, k in zip(points, chars, links, strict=True)]
         for i, tag in enumerate(self.tags):
             if tag in ARTICLE and score[i] > 0:
@@ -208,8 +232,9 @@ def extract_text(pages: DataFrame, *, html: str = "html", to: str = "text", keep
 
     Blocks are joined by one \\n; white space inside one is one space; character references are
     decoded. A page that is null, empty or has no text gives an empty text. Broken markup is read
-    as a browser would as far as blocks go. Repeated rows are kept; columns named as a result are
-    replaced; an empty table gives an empty result.
+    as a browser would as far as blocks go, but a tag or quote that never ends swallows no text.
+    Time and memory are linear in a page's size, however long, deep or broken it is. Repeated
+    rows are kept; columns named as a result are replaced; an empty table gives an empty result.
     """
     keep = [c for c in (pages.columns if keep is None else keep) if c not in (html, to, "n_chars")]
     source = pages.select(*[pages[c] for c in keep], pages[html].alias("__html"))

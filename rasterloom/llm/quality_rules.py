@@ -91,17 +91,40 @@ def _tokens(docs: DataFrame, text: str, kept: list[str]) -> DataFrame:
     return out.select(*kept, F.inline_outer(F.when(F.size("__a") > 0, F.arrays_zip("__a", after.alias("__b")))).alias("a", "b"))
 
 
-def log_ratios(docs: DataFrame, target: DataFrame, *, text: str, key: str, buckets: int, smoothing: float) -> DataFrame:
+def _perhaps_in(keys: DataFrame, key: str, bits: int) -> Callable[[Column], Column]:
+    """A test that every key of keys passes, and few others: a bit for each key hash, in a table of so many bits at most.
+
+    It only spares work before an exact join, the less so the more keys there are for its size.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    at = place(F.col(key))
+    parts = keys.select(F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+    table = parts.agg(F.map_from_entries(F.collect_list(F.struct("part", "bits"))).alias("t")).scalar()
+
+    def test(c: Column) -> Column:
+        bit = F.bitmap_bit_position(place(c))
+        byte = F.conv(F.hex(F.substring(F.element_at(table, F.bitmap_bucket_number(place(c))), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+
+    return test
+
+
+def log_ratios(docs: DataFrame, target: DataFrame, *, text: str, key: str, buckets: int, smoothing: float, filter_bits: int = 1 << 25) -> DataFrame:
     """One row, ratios: array<double> by bucket, log of target's over raw corpus's probability.
 
     target: (key) of trusted rows; keys that are null or not in docs don't matter.
     """
-    trusted = target.select(F.col(key).alias("__key")).filter("__key IS NOT NULL").distinct()
-    # the same join at every size of the target, so costs grow as the input does
-    marked = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(trusted.hint("merge"), F.col("__k") == F.col("__key"), "left")
-    tokens = _tokens(marked.select("__t", F.col("__key").isNotNull().cast("long").alias("in_target")), "__t", ["in_target"]).filter("a IS NOT NULL")
-    grams = tokens.select("in_target", F.explode(F.array(_bucket(buckets, "a"), _bucket(buckets, "a", "b"))).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("in_target").alias("target"))
+
+    def grams(docs: DataFrame, raw: int, trusted: int) -> DataFrame:
+        tokens = _tokens(docs, "__t", []).filter("a IS NOT NULL")
+        counted = tokens.select(F.explode(F.array(_bucket(buckets, "a"), _bucket(buckets, "a", "b"))).alias("bucket"))
+        return counted.select("bucket", F.lit(raw).cast("long").alias("raw"), F.lit(trusted).cast("long").alias("target"))
+
+    trusted = target.select(F.col(key).cast(docs.schema[key].dataType).alias("__key")).filter("__key IS NOT NULL").distinct()
+    every = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t"))
+    # the whole corpus is counted where it lies; the same join at every size of the target, so costs grow as the input does
+    some = every.filter(_perhaps_in(trusted, "__key", filter_bits)(F.col("__k"))).join(trusted.hint("merge"), F.col("__k") == F.col("__key"), "left_semi")
+    counts = grams(every, 1, 0).unionByName(grams(some, 0, 1)).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     total = counts.agg(F.collect_list(F.struct("bucket", "raw", "target")).alias("c"), F.coalesce(F.sum("raw"), F.lit(0)).alias("n_raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("n_target"))
     room = smoothing * buckets
     share = lambda n, total: F.log((F.coalesce(n, F.lit(0)) + smoothing) / (total + room))
@@ -112,18 +135,20 @@ def log_ratios(docs: DataFrame, target: DataFrame, *, text: str, key: str, bucke
     return total.select(F.transform(every, lambda x: share(x["target"], F.col("n_target")) - share(x["raw"], F.col("n_raw"))).alias("ratios"))
 
 
-def quality_rules(docs: DataFrame, target: DataFrame, *, text: str = "text", key: str = "doc_id", buckets: int = 16384, smoothing: float = 1.0, threshold: float = -0.1, min_words: int = 20, repeat_percent: int = 30, keep: list[str] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, target: DataFrame, *, text: str = "text", key: str = "doc_id", buckets: int = 16384, smoothing: float = 1.0, threshold: float = -0.1, filter_bits: int = 1 << 25, min_words: int = 20, repeat_percent: int = 30, keep: list[str] | None = None) -> DataFrame:
     """keep (all columns but the text, if None) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
     score: the mean log ratio of a text's n-grams, 0 for a text without any; kept: not
     base_failed, and a score of at least threshold. A null text is one without words, so it fails
     the base rules; a null key is never in the target. Repeated rows are scored each, and counted
-    each in the corpus. If the target is empty, all ratios are those of smoothing alone. An empty
+    each in the corpus. A very long text is one row of tokens after another, but its words are
+    held at once. filter_bits: size of the table that spares most texts outside the target the
+    way to the target's join, which is exact. If the target is empty, all ratios are those of smoothing alone. An empty
     table gives an empty result. Columns named as a result are replaced; kept ones can't be maps.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     keep = [c for c in (docs.columns if keep is None else keep) if c != text and c not in new]
-    table = log_ratios(docs, target, text=text, key=key, buckets=buckets, smoothing=smoothing).scalar()
+    table = log_ratios(docs, target, text=text, key=key, buckets=buckets, smoothing=smoothing, filter_bits=filter_bits).scalar()
     counted = with_statistics(docs.select(*keep, F.col(text).alias("__text")), "__text")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     counted = counted.withColumns({"base_failed": failed, "__row": F.monotonically_increasing_id()})

@@ -2,11 +2,15 @@
 
 import hashlib
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from rasterloom.llm import chat_format, html_text, packing, quality_classifier, quality_rules, token_counts, warc
@@ -51,6 +55,36 @@ def test_rules(ready, corpus):
     assert quality_rules.quality_rules(docs, target.limit(0), buckets=16).count() == 20
 
 
+def brute_scores(texts, trusted, buckets):
+    """Mean log ratio of each text's hashed uni- and bigrams."""
+    token = quality_rules.TOKEN.replace(r"\s", r" \t-\r")  # Java's white space
+
+    def grams(text):
+        t = [x.encode() for x in regex.findall(token, text or "")]
+        one = [xxhash.xxh64_intdigest(x, 42) for x in t]
+        two = [xxhash.xxh64_intdigest(x, h) for h, x in zip(one, [*t[1:], b""], strict=False)]
+        return [h % buckets for h in one + two]  # 2**64 is a multiple of the buckets
+
+    raw, target = Counter(), Counter()
+    for d, text in texts:
+        raw.update(grams(text))
+        if d in trusted:
+            target.update(grams(text))
+    share = lambda c, b: np.log((c[b] + 1) / (c.total() + buckets))
+    return [float(np.mean([share(target, b) - share(raw, b) for b in g])) if (g := grams(text)) else 0.0 for _, text in texts]
+
+
+def test_scores_equal_brute_force(ready, corpus):
+    docs = corpus.select("doc_id", "text").unionByName(ready.createDataFrame([(1, "zwölf Köche; 3 Äpfel!"), (None, "x y")], "doc_id long, text string"))
+    rows = [(r[0], r[1]) for r in docs.collect()]
+    target = ready.createDataFrame([(1,), (9,), (None,), (777,), (9,)], "doc_id int")
+    expected = sorted((str(d), round(s, 9)) for (d, _), s in zip(rows, brute_scores(rows, {1, 9}, 256), strict=True))
+    for bits in (1 << 25, 8):  # a table too small to spare anything changes no result
+        got = quality_rules.quality_rules(docs, target, buckets=256, filter_bits=bits, threshold=-0.02).collect()
+        assert sorted((str(r["doc_id"]), round(r["score"], 9)) for r in got) == expected
+        assert all(r["kept"] == (not r["base_failed"] and r["score"] >= -0.02) for r in got)
+
+
 def test_ratios_are_those_of_the_counts(ready):
     docs = ready.createDataFrame([(1, "a b a"), (2, "b b"), (3, None)], "doc_id long, text string")
     ratios = quality_rules.log_ratios(docs, docs.filter("doc_id = 1").select("doc_id"), text="text", key="doc_id", buckets=8, smoothing=1.0).first()[0]
@@ -153,6 +187,27 @@ def test_local_search_empties_bins():
     assert len(swapped) == 2
 
 
+HOSTILE = {
+    "deep": ("<div>x" * 100_000, "\n".join("x" * 100_000)),
+    "deep inline": ("<b>" * 50_000 + "x<hr>" * 50_000, "\n".join("x" * 50_000)),
+    "no end": ("<p>x</p>" + "<a " * 100_000, "x\n" + " ".join(["<a"] * 100_000)),
+    "no end of quotes": ("<p>x" + "<a b='>' " * 100_000 + '"', None),
+    "no end of scripts": ("<p>x</p><script>" + "</script " * 100_000, "x"),
+    "comments": ("<p>x<!-- y -->" * 50_000, "\n".join("x" * 50_000)),
+    "long": ("<div><p>" + "word, " * 1_700_000 + "</p></div>", " ".join(["word,"] * 1_700_000)),
+    "reference": ("<p>&#" + "9" * 10_000 + "; &#00000000000065;</p>", "\ufffd A"),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_in_linear_time(name):
+    page, expected = HOSTILE[name]
+    began = time.process_time()
+    got = html_text.main_text(page)
+    assert time.process_time() - began < 10
+    assert expected is None or got == expected
+
+
 def test_each_step_raises_squared_fill(monkeypatch):
     sizes = np.random.default_rng(4).integers(700, 1001, 300)
     start = [[i] for i in range(300)]
