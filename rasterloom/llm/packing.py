@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from rasterloom.llm import _text
 from rasterloom.llm._session import saved
 
-#: White-space-led chunks whose ids a worker keeps.
-KNOWN = 500_000
+#: Chunks between white space, and parts of chunks, whose ids a worker keeps: what comes first is frequent.
+KNOWN, PARTS = 500_000, 150_000
 
 
 class ChunkIds:
@@ -52,7 +52,8 @@ class ChunkIds:
         upper, lower, both, a, b, spaced = (e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False))
         if upper != lower or both != [*a, *b] or spaced != a:
             raise ValueError(f"{path}: not a tokenizer that lowers the case and drops white space")
-        self.known: dict[int, int] = {}  # hash of a chunk to its place in edges
+        # hashes of known chunks, sorted, each with its place in edges; edges of its ids in the pool
+        self.known, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.edges, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
         self.parts: dict[str, bytes] = {}
 
@@ -83,7 +84,7 @@ class ChunkIds:
         get = self.parts.__getitem__
         for i, p in plain:
             out[i] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
-        if len(self.parts) > KNOWN:  # what came first is frequent; what is new goes again
+        if len(self.parts) > PARTS:
             for k in new:
                 del self.parts[k]
         return out
@@ -92,9 +93,11 @@ class ChunkIds:
         """The ids of some texts, one after another, and where each text's begin and the last one's end."""
         w = _text.words(raw, bounds)
         distinct, at, of = np.unique(w.hashes, return_index=True, return_inverse=True)
-        place = np.array([self.known.get(h, -1) for h in distinct.tolist()], np.int64)
-        missing = np.flatnonzero(place < 0)
         had, edges, pool = len(self.known), self.edges, self.pool
+        near = np.searchsorted(self.known, distinct)
+        here = np.minimum(near, max(0, had - 1))
+        missing = np.flatnonzero(self.known[here] != distinct) if had else np.arange(len(distinct))
+        place = self.places[here].astype(np.int64) if had else np.zeros(len(distinct), np.int64)
         if len(missing):
             whole = raw.tobytes()
             new = self.learn([whole[a:b].decode() for a, b in zip(w.starts[at[missing]].tolist(), w.ends[at[missing]].tolist(), strict=True)])
@@ -102,7 +105,8 @@ class ChunkIds:
             edges = np.concatenate([edges, edges[-1] + np.cumsum([len(x) // 4 for x in new])])
             pool = np.concatenate([pool, np.frombuffer(b"".join(new), np.uint32)])
             if had + len(missing) <= KNOWN:
-                self.known.update(zip(distinct[missing].tolist(), place[missing].tolist(), strict=True))
+                self.known = np.insert(self.known, near[missing], distinct[missing])
+                self.places = np.insert(self.places, near[missing], place[missing].astype(np.int32))
                 self.edges, self.pool = edges, pool
         place = place[of]
         size = edges[place + 1] - edges[place]
@@ -135,7 +139,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, *, text: str = "text", key:
     def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = tokenizer_for(tokenizer)
         for batch in stream:
-            for rows, raw, bounds in _text.batches(batch, "__text", 1_500_000):
+            for rows, raw, bounds in _text.batches(batch, "__text", 1_000_000):
                 ids, edges = of.ids(raw, bounds)
                 ids = np.insert(ids, edges[1:], np.uint32(end)).astype("<u4")  # the end token after each text
                 size = np.diff(edges) + 1
