@@ -284,14 +284,8 @@ def parse_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHANGE = "SELECT o_orderkey, CASE WHEN i = 0 THEN 'n/a' ELSE printf('%+.0f%%', (o - i) / CAST(i AS DOUBLE) * 100) END AS change FROM (SELECT o_orderkey, 1000 * (o_orderkey % 7) AS i, 10 * (o_orderkey % 977) AS o FROM orders) q"
 
 
-@query("size_change", f"{_CHANGE} WHERE o_orderkey % 7 <> 0")
+@query("size_change", _CHANGE)
 def size_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of size_change_all with something before."""
-    return size_change_all(spark, sf_dir).filter(F.col("o_orderkey") % 7 != 0)
-
-
-@query("size_change_all", _CHANGE)
-def size_change_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order's change in size, n/a from nothing."""
     k = F.col("o_orderkey")
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", parsing.change(1000 * (k % 7), 10 * (k % 977)).alias("change"))

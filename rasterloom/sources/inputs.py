@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 
 def glob_regex(pattern: Column) -> Column:
-    """A glob as a regular expression: case is ignored, * crosses slashes, a leading dot must be literal."""
-    escaped = F.regexp_replace(pattern, r"([.^$+(){}|\\])", r"\\$1")
+    """A glob as a regular expression: case is ignored, * crosses slashes, a leading dot must be literal.
+
+    A bracket that never closes is itself, and so is one inside brackets.
+    """
+    escaped = F.regexp_replace(pattern, r"([.^$+(){}|\\&])", r"\\$1")
+    for _ in range(3):  # one more bracket inside each pair a time
+        escaped = F.regexp_replace(escaped, r"(\[(?:[^\[\]\\]|\\.)*)\[(?=(?:[^\[\]\\]|\\.)*\])", r"$1\\[")
+    escaped = F.regexp_replace(escaped, r"(?<!\\)\[(?!!?(?:[^\[\]\\]|\\.)+\])", r"\\[")
     hidden = F.when(pattern.startswith("."), "").otherwise(r"(?!\.)")
     body = F.regexp_replace(F.regexp_replace(escaped, r"\*+", ".*"), r"\?", ".")
-    return F.concat(F.lit("(?i)^"), hidden, F.regexp_replace(body, r"\[!", "[^"), F.lit("$"))
+    return F.concat(F.lit("(?i)^"), hidden, F.regexp_replace(body, r"(?<!\\)\[!", "[^"), F.lit("$"))
 
 
 def listed(text: Column, null_separated: bool = False) -> Column:
@@ -40,9 +46,19 @@ def walked(files: DataFrame, readable: list[str], include: list[str], exclude: l
 
 
 def _regex(glob: str) -> str:
-    out = "" if glob.startswith(".") else r"(?!\.)"
-    for c in glob:
-        out += ".*" if c == "*" else "." if c == "?" else ("\\" + c if c in ".^$+(){}|\\" else c)
+    """As glob_regex(), of a pattern that is known beforehand."""
+    out, at = "" if glob.startswith(".") else r"(?!\.)", 0
+    literal = lambda c: "\\" + c if c in ".^$+(){}|\\&[]" else c
+    while at < len(glob):
+        c = glob[at]
+        negated = glob[at + 1 : at + 2] == "!"
+        end = glob.find("]", at + 1 + negated) if c == "[" else -1
+        if end > at + 1 + negated:
+            out += "[" + "^" * negated + "".join(map(literal, glob[at + 1 + negated : end])) + "]"
+            at = end
+        else:
+            out += ".*" if c == "*" else "." if c == "?" else literal(c)
+        at += 1
     return out
 
 

@@ -6,7 +6,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_every_search_has_its_trials(spark):
-    log = library.QUERIES["trial_log_all"](spark, FOLDER).collect()
+    log = library.QUERIES["trial_log"](spark, FOLDER).collect()
     found = {r["id"]: r for r in library.QUERIES["search_linear"](spark, FOLDER).collect()}
     of = {}
     for r in sorted(log, key=lambda r: r["n"]):
@@ -20,7 +20,7 @@ def test_every_search_has_its_trials(spark):
 
 
 def test_every_order_has_its_change(spark):
-    change = dict(library.QUERIES["size_change_all"](spark, FOLDER).collect())
+    change = dict(library.QUERIES["size_change"](spark, FOLDER).collect())
     orders = [r["o_orderkey"] for r in spark.read.parquet(f"{FOLDER}/orders.parquet").select("o_orderkey").collect()]
     assert len(change) == len(orders) == len(set(orders))
     assert {k for k, v in change.items() if v == "n/a"} == {k for k in orders if k % 7 == 0} != set()
