@@ -410,7 +410,7 @@ def decoded(content: Column, registry: Registry | None = None, limit: int = MAX_
 def encoded(image: Column, fmt: str, registry: Registry | None = None) -> Column:
     """struct<content: binary, error_kind, error: string> of an IMAGE."""
 
-    def one(row: pd.Series, r: Registry) -> tuple:
+    def one(row: dict, r: Registry) -> tuple:
         try:
             if row["error_kind"] is not None:
                 return None, row["error_kind"], row["error"]
@@ -424,6 +424,6 @@ def encoded(image: Column, fmt: str, registry: Registry | None = None) -> Column
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = registry or standard()
         for d in parts:
-            yield pd.DataFrame([one(x, r) for _, x in d.iterrows()], columns=["content", "error_kind", "error"])
+            yield pd.DataFrame([one(x, r) for x in d.to_dict("records")], columns=["content", "error_kind", "error"])
 
     return run(image)

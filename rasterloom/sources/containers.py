@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from rasterloom.sources.codecs import MAX_PIXELS, PNG, CodecError, Decoder, Image, Registry, _sized, decode_png
+from rasterloom.sources.codecs import MAX_PIXELS, PNG, CodecError, Decoder, Image, Registry, _sized, decode_png, Encoder
+from rasterloom.sources.jpeg import decode_jpeg, encode_jpeg
 
 
 def _sub_blocks(data: bytes, at: int) -> tuple[bytes, int]:
@@ -168,8 +169,10 @@ def decode_ico(data: bytes, limit: int = MAX_PIXELS) -> Image:
 
 
 def extended(registry: Registry) -> Registry:
-    """registry with the decoders of this module, ahead of those that have no mark of their own."""
+    """registry with the decoders of this module and JPEG, ahead of those that have no mark of their own."""
+    registry.encoders.append(Encoder("jpeg", "jpeg", encode_jpeg, lossy=True, lossless=False, alpha=False))
     registry.decoders[:0] = [
+        Decoder("jpeg", lambda b: b.startswith(b"\xff\xd8\xff"), decode_jpeg),
         Decoder("gif", lambda b: b[:6] in (b"GIF87a", b"GIF89a") and len(b) >= 13, decode_gif),
         Decoder("tiff", lambda b: b[:4] in (b"II*\0", b"MM\0*"), decode_tiff),
         Decoder("ico", lambda b: b[:4] in (b"\0\0\1\0", b"\0\0\2\0") and len(b) >= 6 and b[4:6] != b"\0\0", decode_ico),
