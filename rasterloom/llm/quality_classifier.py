@@ -189,15 +189,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     """Trees fitted to at most sample labelled rows, those of the least key hashes.
 
     Rows whose fold() is held_out, and those with a null key or label, are never used; a key that
-    is labelled twice counts once, with its least label. The sample and its bound don't
+    is labelled twice counts once, with its least label; of rows that repeat a key the one of the
+    least statistics counts. The sample and its bound don't
     depend on the size of docs.
     """
     known = labels.select(F.col(key), F.col(label).cast("int").alias("__y")).filter(F.col(key).isNotNull() & F.col("__y").isNotNull() & (fold(F.col(key)) != held_out))
     chosen = known.groupBy(key).agg(F.min("__y").alias("__y")).orderBy(F.xxhash64(key), key).limit(sample)
     # at most sample pairs of numbers: a bound that holds at any size of the tables
     used = docs.select(key, text).join(F.broadcast(chosen), key)
-    rows = _numbers(used, key, text, "__y").select(F.xxhash64(key).alias("o"), key, "__y", "x").collect()
-    rows.sort(key=lambda r: (r["o"], r[key], r["x"]))
+    one = _numbers(used, key, text, "__y").groupBy(key, "__y").agg(F.min("x").alias("x"))  # of rows that repeat a key
+    rows = one.select(F.xxhash64(key).alias("o"), key, "__y", "x").collect()
+    rows.sort(key=lambda r: (r["o"], r[key]))
     x = np.array([r["x"] for r in rows], np.float32).reshape(len(rows), len(NAMES))
     return train(x, np.array([r["__y"] for r in rows], np.int64))
 
