@@ -39,7 +39,6 @@ def group_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("n_regionkey").agg(F.array_join(rows["t"], ", ").alias("label"))
 
 
-
 @query("trial_log", _TRIALS)
 def trial_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every search, trial by trial, with the bracket's lower end before each."""

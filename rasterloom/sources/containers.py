@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from rasterloom.sources.codecs import MAX_PIXELS, PNG, CodecError, Decoder, Image, Registry, _sized, decode_png, Encoder
+from rasterloom.sources.codecs import MAX_PIXELS, PNG, CodecError, Decoder, Encoder, Image, Registry, _sized, decode_png
 from rasterloom.sources.jpeg import decode_jpeg, encode_jpeg
 
 
