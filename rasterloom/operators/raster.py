@@ -56,13 +56,22 @@ def moving_box(pixels: DataFrame, radius: int, channels: list[str], keys: list[s
     return pixels.withColumns({c: F.avg(c).over(along) for c in channels})
 
 
-def padded(pixels: DataFrame, width: int, height: int, left: int, top: int, background: dict[str, int]) -> DataFrame:
-    """An image on a larger canvas: background where it has no pixel."""
-    spark = pixels.sparkSession
-    grid = spark.range(width * height).select(F.floor(F.col("id") / width).alias("y"), (F.col("id") % width).alias("x"))
+def padded(pixels: DataFrame, width: int, height: int, left: int, top: int, background: dict[str, int], keys: list[str] | None = None) -> DataFrame:
+    """Each image on a larger canvas: background where it has no pixel. keys name the columns that tell images apart.
+
+    Every row of pixels gives its own place and every image its canvas once; an image without pixels gives none.
+    """
+    own = list(keys or [])
+    grid = pixels.sparkSession.range(width * height).select(F.floor(F.col("id") / width).alias("y"), (F.col("id") % width).alias("x"))
+    if own:  # each image unfolds its own canvas
+        cells = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width * height - 1).cast("long")))
+        grid = pixels.select(*own).distinct().withColumn("__at", cells)
+        grid = grid.withColumns({"y": F.floor(F.col("__at") / width), "x": F.col("__at") % width}).drop("__at")
     moved = pixels.withColumns({"x": F.col("x") + left, "y": F.col("y") + top})
-    out = grid.join(moved, ["y", "x"], "left")
-    return out.select("y", "x", *[F.coalesce(F.col(c), F.lit(v)).cast("long").alias(c) for c, v in background.items()])
+    g, m = grid.alias("g"), moved.alias("m")
+    on = [F.col(f"g.{c}").eqNullSafe(F.col(f"m.{c}")) for c in own] + [F.col(f"g.{c}") == F.col(f"m.{c}") for c in ("y", "x")]
+    out = g.join(m, on, "left")
+    return out.select(*[F.col(f"g.{c}") for c in (*own, "y", "x")], *[F.coalesce(F.col(f"m.{c}"), F.lit(v)).cast("long").alias(c) for c, v in background.items()])
 
 
 def padded_layout(grey: Column, alpha: Column, red: Column, green: Column, blue: Column, back_alpha: Column) -> Column:

@@ -2,7 +2,7 @@
 
 As a column expression, the whole search of a row is one fold over trial numbers, for scores that
 are expressions themselves; nothing leaves the JVM. `search()` is the same state machine for Python
-encoders, one row at a time inside an Arrow batch.
+encoders, one row at a time inside an Arrow batch. Both follow proposed() and judged(), written once.
 """
 
 from __future__ import annotations
@@ -37,8 +37,73 @@ def problem(target: Column, tolerance: Column, trials: Column, floor: Column, ce
     )
 
 
-def midpoint(low: Column, high: Column, geometric: bool) -> Column:
-    return F.round(F.sqrt(low * high)) if geometric else F.round((low + high) / 2)
+class _Columns:
+    """What the rules of the search need, on columns."""
+
+    def pick(self, *cases):
+        """The value beside the first condition that holds; the last has none."""
+        out = None
+        for when, value in cases[:-1]:
+            out = F.when(when, value) if out is None else out.when(when, value)
+        return out.otherwise(cases[-1])
+
+    no, given = staticmethod(lambda c: ~c), staticmethod(lambda c: c.isNotNull())
+    number = staticmethod(lambda c: c.isNotNull() & ~F.isnan(c))
+    size, root, rounded = staticmethod(F.abs), staticmethod(F.sqrt), staticmethod(F.round)
+    less, more = staticmethod(F.least), staticmethod(F.greatest)
+
+
+class _Numbers:
+    """The same on plain numbers, where None is null."""
+
+    def pick(self, *cases):
+        return next((value for when, value in cases[:-1] if when), cases[-1])
+
+    no, given = staticmethod(lambda x: not x), staticmethod(lambda x: x is not None)
+    number = staticmethod(lambda x: x is not None and not math.isnan(x))
+    size, less, more = staticmethod(abs), staticmethod(min), staticmethod(max)
+    root = staticmethod(lambda x: math.sqrt(x))
+    rounded = staticmethod(lambda x: half_up(x))
+
+
+COLUMNS, NUMBERS = _Columns(), _Numbers()
+#: What a search knows between trials. Missing values are null.
+STATE = ("lo", "hi", "short", "reach", "step", "value", "best", "best_score", "best_reaches", "done")
+
+
+def midpoint(low, high, geometric: bool, on=COLUMNS):
+    return on.rounded(on.root(low * high) if geometric else (low + high) / 2)
+
+
+def proposed(on, s, first_trial, last_trial, start, ceiling, geometric: bool):
+    """(setting, step) of the next trial. start: the first setting, or null for the middle; step: null without a stride."""
+    stepping = on.given(s["step"])
+    # a null value or step can't be reckoned with, and isn't where the rules ask for it
+    value, step = on.pick((on.given(s["value"]), s["value"]), s["lo"]), on.pick((stepping, s["step"]), 0.0)
+    along = on.pick((s["reach"], on.more(on.rounded(value - step), s["lo"])), on.less(on.rounded(value + step), s["hi"]))
+    middle = midpoint(s["lo"], s["hi"], geometric, on)
+    desperate = last_trial & on.no(s["reach"])
+    setting = on.pick((first_trial, on.pick((on.given(start), start), middle)), (desperate, ceiling), (stepping, along), middle)
+    return setting, on.pick((stepping & on.no(first_trial) & on.no(desperate), step * 2), s["step"])
+
+
+def judged(on, s, setting, step, score, target, tolerance: float) -> dict:
+    """The state after a trial. A score that is no number reaches nothing and beats nothing, but the first setting is kept."""
+    known = on.number(score)
+    got, held = on.pick((known, score), 0.0), on.pick((on.number(s["best_score"]), s["best_score"]), 0.0)
+    reaches = known & (got >= target - tolerance)
+    first = on.no(on.given(s["best"]))
+    smaller = on.no(s["best_reaches"]) | (setting < on.pick((first, setting), s["best"]))
+    higher = on.no(s["best_reaches"]) & known & on.number(s["best_score"]) & (got >= held)
+    better = first | on.pick((reaches, smaller), higher)
+    lo, hi = on.pick((reaches, s["lo"]), setting), on.pick((reaches, setting), s["hi"])
+    short, reach = s["short"] | on.no(reaches), s["reach"] | reaches
+    nothing = F.lit(None).cast("double") if on is COLUMNS else None
+    return {
+        "lo": lo, "hi": hi, "short": short, "reach": reach, "step": on.pick((short & reach, nothing), step), "value": setting,
+        "best": on.pick((better, setting), s["best"]), "best_score": on.pick((better, score), s["best_score"]), "best_reaches": on.pick((better, reaches), s["best_reaches"]),
+        "done": (known & (on.size(got - target) <= tolerance)) | (hi - lo <= 1),
+    }
 
 
 def search_column(score: Callable[[Column], Column], target: Column, *, tolerance: float = TOLERANCE, trials: int = TRIALS, floor: Column | None = None, ceiling: Column | None = None, seed: Column | None = None, step: Column | None = None, geometric: bool = False, axis: tuple[float, float] = QUALITY) -> Column:
@@ -49,49 +114,25 @@ def search_column(score: Callable[[Column], Column], target: Column, *, toleranc
     start = F.when(seed.isNotNull(), F.least(F.greatest(F.round(d(seed)), lo0), hi0)) if seed is not None else null
     stride = F.when(d(seed).isNotNull(), d(step)) if seed is not None and step is not None else null
     none = F.array().cast("array<struct<value:double,score:double>>")
-    state = F.struct(
-        lo0.alias("lo"), hi0.alias("hi"), no.alias("short"), no.alias("reach"), stride.alias("step"), null.alias("value"), null.alias("best"), null.alias("best_score"),
-        no.alias("best_reaches"), no.alias("done"), none.alias("trials"),
-    )
+    before = dict(zip(STATE, (lo0, hi0, no, no, stride, null, null, null, no, no), strict=True)) | {"trials": none}
+    packed = lambda fields: F.struct(*[c.alias(k) for k, c in fields.items()])
 
     def let(value: Column, body: Callable[[Column], Column]) -> Column:
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
     def trial(s: Column, n: Column) -> Column:
-        last = (n == trials) & ~s["reach"]
-        moved = F.when(s["reach"], F.greatest(F.round(s["value"] - s["step"]), s["lo"])).otherwise(F.least(F.round(s["value"] + s["step"]), s["hi"]))
-        first = F.coalesce(start, midpoint(s["lo"], s["hi"], geometric))
-        stepping = s["step"].isNotNull()
-        value = F.when(n == 1, first).when(last, hi0).when(stepping, moved).otherwise(midpoint(s["lo"], s["hi"], geometric))
-        grown = F.when((n > 1) & ~last & stepping, s["step"] * 2).otherwise(s["step"])
-        return F.struct(value.alias("v"), grown.alias("step"))
-
-    def scored(s: Column, t: Column) -> Column:
-        return let(F.struct(t["v"].alias("v"), t["step"].alias("step"), d(score(t["v"])).alias("s")), lambda x: after(s, x))
+        setting, grown = proposed(COLUMNS, s, n == 1, (n == trials) & (n > 1), start, hi0, geometric)
+        return let(packed({"v": d(setting), "step": d(grown)}), lambda t: let(packed({"v": t["v"], "step": t["step"], "s": d(score(t["v"]))}), lambda x: after(s, x)))
 
     def after(s: Column, x: Column) -> Column:
-        v, got = x["v"], x["s"]
-        known = got.isNotNull() & ~F.isnan(got)
-        reaches = known & (got >= target - tolerance)
-        old = s["best_score"]
-        higher = known & old.isNotNull() & ~F.isnan(old) & (got >= old)
-        better = s["best"].isNull() | (reaches & (~s["best_reaches"] | (v < s["best"]))) | (~reaches & ~s["best_reaches"] & higher)
-        lo, hi = F.when(reaches, s["lo"]).otherwise(v), F.when(reaches, v).otherwise(s["hi"])
-        short, reach = s["short"] | ~reaches, s["reach"] | reaches
-        return F.struct(
-            lo.alias("lo"), hi.alias("hi"), short.alias("short"), reach.alias("reach"), F.when(~(short & reach), x["step"]).alias("step"), v.alias("value"),
-            F.when(better, v).otherwise(s["best"]).alias("best"), F.when(better, got).otherwise(old).alias("best_score"), F.when(better, reaches).otherwise(s["best_reaches"]).alias("best_reaches"),
-            ((known & (F.abs(got - target) <= tolerance)) | (hi - lo <= 1)).alias("done"), F.concat(s["trials"], F.array(F.struct(v.alias("value"), got.alias("score")))).alias("trials"),
-        )
-
-    def step_(s: Column, n: Column) -> Column:
-        return F.when(s["done"], s).otherwise(let(trial(s, n), lambda t: scored(s, t)))
+        log = F.concat(s["trials"], F.array(F.struct(x["v"].alias("value"), x["s"].alias("score"))))
+        return packed(judged(COLUMNS, s, x["v"], x["step"], x["s"], target, tolerance) | {"trials": log})
 
     def finish(s: Column) -> Column:
         capped = ~s["best_reaches"] & F.exists(s["trials"], lambda t: t["value"] == hi0)
         return F.struct(s["best"].alias("value"), s["best_score"].alias("score"), F.size(s["trials"]).alias("iterations"), s["best_reaches"].alias("reached"), capped.alias("capped"), s["trials"].alias("trials"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(trials)), state, step_, finish)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(trials)), packed(before), lambda s, n: F.when(s["done"], s).otherwise(trial(s, n)), finish)
 
 
 def half_up(x: float) -> float:
@@ -110,38 +151,19 @@ class Found:
 
 
 def search(run: Callable[[float], tuple[object, float, int]], target: float, *, tolerance: float = TOLERANCE, trials: int = TRIALS, floor: float = QUALITY[0], ceiling: float = QUALITY[1], seed: float | None = None, step: float | None = None, geometric: bool = False) -> Found:
-    """As search_column(), where run(value) gives (output, score, size) of a trial."""
-    low, high = half_up(floor), half_up(ceiling)
-    top = high
-    short = reach = False
-    stride = step if seed is not None else None
-    best: Found | None = None
+    """As search_column(), by the same rules, where run(value) gives (output, score, size) of a trial."""
+    low, top = half_up(floor), half_up(ceiling)
+    start = None if seed is None else min(max(half_up(seed), low), top)
+    state = dict(zip(STATE, (low, top, False, False, None if seed is None else step, None, None, None, False, False), strict=True))
     log: list[tuple[float, float, int]] = []
-    value = 0.0
-    middle = lambda: half_up(math.sqrt(low * high) if geometric else (low + high) / 2)
-    for n in range(1, trials + 1):
-        if n == 1:
-            value = min(max(half_up(seed), low), high) if seed is not None else middle()
-        elif n == trials and not reach:
-            value = top
-        elif stride is not None:
-            value = max(half_up(value - stride), low) if reach else min(half_up(value + stride), high)
-            stride *= 2
-        else:
-            value = middle()
-        output, score, size = run(value)
-        log.append((value, score, size))
-        reaches = score >= target - tolerance
-        if best is None or reaches and (not best.reached or value < best.value) or not reaches and not best.reached and score >= best.score:
-            best = Found(value, score, output, reaches, False)
-        if reaches:
-            high, reach = value, True
-        else:
-            low, short = value, True
-        if short and reach:
-            stride = None
-        if abs(score - target) <= tolerance or high - low <= 1:
-            break
-    best.capped = not best.reached and any(v == top for v, _, _ in log)
-    best.trials = log
-    return best
+    kept: object = None
+    while not state["done"] and len(log) < trials:
+        n = len(log) + 1
+        setting, grown = proposed(NUMBERS, state, n == 1, 1 < n == trials, start, top, geometric)
+        output, score, size = run(setting)
+        log.append((setting, score, size))
+        state = judged(NUMBERS, state, setting, grown, score, target, tolerance)
+        if state["best"] == setting:
+            kept = output
+    capped = not state["best_reaches"] and any(v == top for v, _, _ in log)
+    return Found(state["best"], state["best_score"], kept, state["best_reaches"], capped, log)

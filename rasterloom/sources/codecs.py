@@ -160,8 +160,28 @@ def _unfilter(raw: np.ndarray, rows: int, line: int, step: int) -> np.ndarray:
     return out[1:, step:]
 
 
+#: Fixed values (the PNG specification): first column, first row, column step and row step of each interlacing pass.
+PASSES = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
+
+
+def _grid(raw: np.ndarray, width: int, height: int, depth: int, channels: int) -> tuple[np.ndarray, int]:
+    """(height, width, channels) samples of filtered lines, and the bytes they took."""
+    line = -(-width * channels * depth // 8)
+    if len(raw) < (line + 1) * height:
+        raise CodecError("decode", "samples end early")
+    rows = _unfilter(raw, height, line, max(1, channels * depth // 8))
+    if depth == 16:
+        v = rows.reshape(height, -1).view(">u2").astype(np.uint16).reshape(height, width, channels)
+    elif depth == 8:
+        v = rows.reshape(height, width, channels)
+    else:
+        bits = np.unpackbits(rows, axis=1).reshape(height, -1, depth)[:, :width]
+        v = (bits @ (1 << np.arange(depth)[::-1])).astype(np.uint8).reshape(height, width, 1)
+    return v, (line + 1) * height
+
+
 def decode_png(data: bytes, limit: int = MAX_PIXELS) -> Image:
-    """PNG without interlacing: all layouts and depths, palettes and their transparency expanded."""
+    """PNG, interlaced or not: all layouts and depths, palettes and their transparency expanded."""
     parts: dict[bytes, bytes] = {}
     for name, body in _chunks(data):
         parts[name] = parts.get(name, b"") + body if name == b"IDAT" else body
@@ -169,24 +189,21 @@ def decode_png(data: bytes, limit: int = MAX_PIXELS) -> Image:
         raise CodecError("decode", "no header or no samples")
     width, height, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", parts[b"IHDR"][:13])
     _sized(width, height, limit)
-    if interlaced or kind not in (0, 2, 3, 4, 6):
-        raise CodecError("unsupported", "interlaced or unknown PNG")
+    if interlaced > 1 or kind not in (0, 2, 3, 4, 6):
+        raise CodecError("unsupported", "unknown PNG")
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
-    line = -(-width * channels * depth // 8)
     try:
         raw = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8)
     except zlib.error as e:
         raise CodecError("decode", str(e)) from e
-    if len(raw) < (line + 1) * height:
-        raise CodecError("decode", "samples end early")
-    rows = _unfilter(raw, height, line, max(1, channels * depth // 8))
-    if depth == 16:
-        v = rows.reshape(height, -1).view(">u2").astype(np.uint16).reshape(height, width, channels)
-    elif depth == 8:
-        v = rows.reshape(height, width, channels)
+    if interlaced:
+        v = np.zeros((height, width, channels), np.uint16 if depth == 16 else np.uint8)
+        for x, y, across, down in PASSES:
+            if x < width and y < height:
+                part, used = _grid(raw, -(-(width - x) // across), -(-(height - y) // down), depth, channels)
+                v[y::down, x::across], raw = part, raw[used:]
     else:
-        bits = np.unpackbits(rows, axis=1).reshape(height, -1, depth)[:, :width]
-        v = (bits @ (1 << np.arange(depth)[::-1])).astype(np.uint8).reshape(height, width, 1)
+        v, _ = _grid(raw, width, height, depth, channels)
     clear = parts.get(b"tRNS")
     if kind == 3:
         table = np.frombuffer(parts.get(b"PLTE", b""), np.uint8).reshape(-1, 3)
@@ -209,23 +226,52 @@ def decode_png(data: bytes, limit: int = MAX_PIXELS) -> Image:
     return Image(width, height, LAYOUTS[v.shape[2]], v)
 
 
-def encode_png(image: Image, level: int = 6) -> bytes:
-    """PNG with the filter of least absolute sum for each line among none, left and up."""
-    if image.depth == "f32":
-        raise CodecError("unsupported", "PNG takes whole samples")
-    wide = image.depth == "u16"
-    step = CHANNELS[image.color] * (2 if wide else 1)
-    rows = np.frombuffer(image.samples.astype(">u2" if wide else "u1").tobytes(), np.uint8).reshape(image.height, -1)
+def _filtered(rows: np.ndarray, step: int) -> bytes:
+    """Lines with the filter of least absolute sum for each among none, left and up."""
     left, up = rows.copy(), rows.copy()
     left[:, step:] -= rows[:, :-step]
     up[1:] -= rows[:-1]
     tried = np.stack([rows, left, up])
     cost = np.abs(tried.view(np.int8).astype(np.int32)).sum(2)
     best = cost.argmin(0)
-    body = np.concatenate([best.astype(np.uint8)[:, None], tried[best, np.arange(image.height)]], 1).tobytes()
+    return np.concatenate([best.astype(np.uint8)[:, None], tried[best, np.arange(len(rows))]], 1).tobytes()
+
+
+def _png(width: int, height: int, depth: int, kind: int, interlaced: bool, body: bytes, level: int, more: list[tuple[bytes, bytes]] = ()) -> bytes:
     chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
-    head = struct.pack(">IIBBBBB", image.width, image.height, 16 if wide else 8, {"gray": 0, "gray_alpha": 4, "rgb": 2, "rgba": 6}[image.color], 0, 0, 0)
-    return PNG + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(body, level)) + chunk(b"IEND", b"")
+    head = struct.pack(">IIBBBBB", width, height, depth, kind, 0, 0, interlaced)
+    return PNG + b"".join(chunk(*c) for c in [(b"IHDR", head), *more, (b"IDAT", zlib.compress(body, level)), (b"IEND", b"")])
+
+
+def encode_png(image: Image, level: int = 6, interlaced: bool = False) -> bytes:
+    """PNG of 8 or 16 bits; level: zlib's effort."""
+    if image.depth == "f32":
+        raise CodecError("unsupported", "PNG takes whole samples")
+    wide = image.depth == "u16"
+    step = CHANNELS[image.color] * (2 if wide else 1)
+    v = image.pixels.astype(">u2" if wide else "u1")
+    parts = [v[y::down, x::across] for x, y, across, down in PASSES] if interlaced else [v]
+    body = b"".join(_filtered(np.frombuffer(p.tobytes(), np.uint8).reshape(len(p), -1), step) for p in parts if p.size)
+    return _png(image.width, image.height, 16 if wide else 8, {"gray": 0, "gray_alpha": 4, "rgb": 2, "rgba": 6}[image.color], interlaced, body, level)
+
+
+def encode_palette_png(colours: np.ndarray, index: np.ndarray, level: int = 6) -> bytes:
+    """PNG of at most 256 RGBA colours and an index (height, width) into them, at the least of 1, 2, 4 and 8 bits.
+
+    Colours that aren't opaque come first, so that the table of alphas ends with the last of them.
+    """
+    if not 1 <= len(colours) <= 256:
+        raise CodecError("params", "a palette has 1 to 256 colours")
+    order = np.argsort(colours[:, 3] == 255, kind="stable")
+    colours, index = colours[order].astype(np.uint8), np.argsort(order)[index].astype(np.uint8)
+    depth = next(d for d in (1, 2, 4, 8) if len(colours) <= 1 << d)
+    height, width = index.shape
+    bits = np.unpackbits(index[:, :, None], axis=2)[:, :, 8 - depth :].reshape(height, -1)
+    rows = np.packbits(bits, axis=1)
+    clear = int((colours[:, 3] < 255).sum())
+    more = [(b"PLTE", colours[:, :3].tobytes()), *([(b"tRNS", colours[:clear, 3].tobytes())] if clear else [])]
+    plain = np.concatenate([np.zeros((height, 1), np.uint8), rows], 1).tobytes()  # neighbouring indices aren't near colours
+    return _png(width, height, depth, 3, False, plain, level, more)
 
 
 def decode_bmp(data: bytes, limit: int = MAX_PIXELS) -> Image:
@@ -278,14 +324,40 @@ def decode_qoi(data: bytes, limit: int = MAX_PIXELS) -> Image:
     return Image(width, height, "rgba" if channels == 4 else "rgb", v[:, :channels])
 
 
+def is_tga(data: bytes) -> bool:
+    """The rule of probe.is_tga() on bytes: a signature at the end, or fields that agree and data as long as they say."""
+    if len(data) < 18:
+        return False
+    if data.endswith(b"TRUEVISION-XFILE.\0"):
+        return True
+    id_size, mapped, kind, _, n_map, map_bits, _, _, width, height, bits, flags = struct.unpack("<BBBHHBHHHHBB", data[:18])
+    own = (8, 16) if kind in (1, 9, 3, 11) else (15, 16, 24, 32)
+    table = n_map > 0 and map_bits in (15, 16, 24, 32) if mapped else n_map == 0
+    sane = kind in (1, 2, 3, 9, 10, 11) and bits in own and width and height and flags < 64 and flags % 16 <= 8 and mapped == (kind in (1, 9)) and table
+    need = 18 + id_size + mapped * n_map * -(-map_bits // 8) + width * height * -(-bits // 8)
+    return bool(sane) and (kind > 8 or len(data) >= need)
+
+
+def _tga_colours(v: np.ndarray, bits: int, alpha: bool) -> np.ndarray:
+    """(n, 1, 3 or 4) samples of n pixels of little-endian bytes: grey, grey and alpha, 5 bits a channel, or 8."""
+    if bits in (15, 16):
+        word = v[:, 0].astype(np.int64) | v[:, 1].astype(np.int64) << 8
+        five = np.stack([word >> s & 31 for s in (10, 5, 0)], 1)
+        rgb = (five * 255 + 15) // 31
+        return np.concatenate([rgb, (word >> 15)[:, None] * 255], 1).astype(np.uint8) if alpha and bits == 16 else rgb.astype(np.uint8)
+    return v[:, [2, 1, 0, 3][: v.shape[1]]]
+
+
 def decode_tga(data: bytes, limit: int = MAX_PIXELS) -> Image:
-    """True-colour and grey TGA, plain or run-length coded."""
-    id_size, _, kind = data[:3]
-    width, height, bits, flags = struct.unpack("<HHBB", data[12:18])
+    """True-colour, mapped and grey TGA, plain or run-length coded, from either side and end."""
+    id_size, mapped, kind, first, n_map, map_bits, _, _, width, height, bits, flags = struct.unpack("<BBBHHBHHHHBB", data[:18])
     _sized(width, height, limit)
-    if kind not in (2, 3, 10, 11) or bits not in (8, 24, 32):
+    if kind not in (1, 2, 3, 9, 10, 11) or bits not in ((8, 16) if kind % 8 in (1, 3) else (15, 16, 24, 32)):
         raise CodecError("unsupported", f"TGA type {kind} of {bits} bits")
-    step, at, n = bits // 8, 18 + id_size, width * height
+    step, at, n = -(-bits // 8), 18 + id_size, width * height
+    size = -(-map_bits // 8)
+    table = np.frombuffer(data[at : at + n_map * size], np.uint8) if mapped else np.zeros(0, np.uint8)
+    at += n_map * size if mapped else 0
     if kind < 8:
         flat = data[at : at + n * step]
     else:
@@ -302,10 +374,21 @@ def decode_tga(data: bytes, limit: int = MAX_PIXELS) -> Image:
         flat = b"".join(parts)[: n * step]
     if len(flat) < n * step:
         raise CodecError("decode", "samples end early")
-    v = np.frombuffer(flat, np.uint8).reshape(height, width, step)
+    v = np.frombuffer(flat, np.uint8).reshape(n, step)
+    alpha = flags & 15 > 0
+    if kind % 8 == 1:
+        if map_bits not in (15, 16, 24, 32) or len(table) < n_map * size:
+            raise CodecError("decode", "bad colour map")
+        index = v[:, 0].astype(np.int64) - first + (v[:, 1].astype(np.int64) << 8 if step > 1 else 0)
+        if index.min() < 0 or index.max() >= n_map:
+            raise CodecError("decode", "colour beyond the map")
+        v = _tga_colours(table.reshape(-1, size), map_bits, alpha)[index]
+    elif kind % 8 == 2:
+        v = _tga_colours(v, bits, alpha)
+    v = v.reshape(height, width, -1)
+    v = v[:, ::-1] if flags & 16 else v
     v = v if flags & 32 else v[::-1]
-    v = v if step == 1 else v[:, :, [2, 1, 0, 3][:step]]
-    return Image(width, height, {1: "gray", 3: "rgb", 4: "rgba"}[step], v)
+    return Image(width, height, LAYOUTS[v.shape[2]], v)
 
 
 def quantise(image: Image, quality: float, least: int = 1) -> Image:
@@ -377,7 +460,7 @@ def standard() -> Registry:
         Decoder("bmp", lambda b: b.startswith(b"BM") and len(b) >= 26, decode_bmp),
         Decoder("qoi", lambda b: b.startswith(b"qoif") and len(b) >= 14, decode_qoi),
         Decoder("pnm", lambda b: len(b) > 2 and b[:1] == b"P" and b[1:2] in b"1234567" and (b[2:3].isspace() or b[2:3] == b"#"), decode_pnm),
-        Decoder("tga", lambda b: len(b) >= 18 and b[2] in (2, 3, 10, 11) and b[1] == 0 and b[16] in (8, 24, 32) and b[17] < 64, decode_tga),
+        Decoder("tga", is_tga, decode_tga),
     ]
     r.encoders += [Encoder("pnm", "pnm", encode_pnm, alpha=False), Encoder("png", "png", encode_png)]
     r.sniffers += [("jpeg", lambda b: b.startswith(b"\xff\xd8\xff")), ("gif", lambda b: b[:6] in (b"GIF87a", b"GIF89a")), ("webp", lambda b: b[:4] == b"RIFF" and b[8:12] == b"WEBP")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,8 +110,66 @@ def decode_gif(data: bytes, limit: int = MAX_PIXELS) -> Image:
     raise CodecError("decode", "no image")
 
 
+def _packbits(data: bytes, size: int) -> bytes:
+    out, at = bytearray(), 0
+    while len(out) < size and at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            if n > 128:
+                out += data[at + 1 : at + 2] * (257 - n)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def _tiff_lzw(data: bytes, size: int) -> bytes:
+    """Codes of 9 to 12 bits, highest bit first, widened one code early."""
+    start = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, width, before = list(start), 9, b""
+    out = bytearray()
+    value = have = at = 0
+    while len(out) < size:
+        while have < width:
+            if at >= len(data):
+                return bytes(out)
+            value, have, at = value << 8 | data[at], have + 8, at + 1
+        have -= width
+        code, value = value >> have, value & (1 << have) - 1
+        if code == 256:
+            table, width, before = list(start), 9, b""
+            continue
+        if code == 257:
+            break
+        if code < len(table):
+            entry = table[code]
+        elif code == len(table) and before:
+            entry = before + before[:1]
+        else:
+            raise CodecError("decode", "bad code")
+        out += entry
+        if before and len(table) < 4096:
+            table.append(before + entry[:1])
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+        before = entry
+    return bytes(out)
+
+
+def _inflated(data: bytes, size: int) -> bytes:
+    try:
+        return zlib.decompressobj().decompress(data, size)
+    except zlib.error as e:
+        raise CodecError("decode", str(e)) from e
+
+
+#: Fixed values (TIFF 6.0 and its supplements): how samples may be packed.
+UNPACK = {1: lambda data, size: data[:size], 5: _tiff_lzw, 8: _inflated, 32946: _inflated, 32773: _packbits}
+
+
 def decode_tiff(data: bytes, limit: int = MAX_PIXELS) -> Image:
-    """The first directory of a classic TIFF with plain strips: grey, RGB, alpha, palettes; 8, 16 or float."""
+    """The first directory of a classic TIFF in strips or tiles, plain, PackBits, LZW or deflate, with differences
+    of whole samples undone: grey, RGB, alpha, palettes; 8, 16 or float."""
     end = "<" if data[:2] == b"II" else ">"
     if struct.unpack(end + "H", data[2:4])[0] != 42:
         raise CodecError("unsupported", "BigTIFF")
@@ -127,18 +186,37 @@ def decode_tiff(data: bytes, limit: int = MAX_PIXELS) -> Image:
     width, height, bits, channels, mode = one(256, 0), one(257, 0), one(258, 1), one(277, 1), one(262, 1)
     _sized(width, height, limit)
     kind = {(8, 1): "u1", (16, 1): "u2", (32, 3): "f4"}.get((bits, one(339, 1)))
-    if one(259, 1) != 1 or kind is None or mode > 3 or one(284, 1) != 1 or channels > 4 or 273 not in tags:
-        raise CodecError("unsupported", "compressed, planar or unusual TIFF")
-    raw = b"".join(data[a : a + n] for a, n in zip(tags[273], tags.get(279, [len(data)]), strict=False))
-    n = width * height * channels * np.dtype(kind).itemsize
-    if len(raw) < n:
+    unpack, differs = UNPACK.get(one(259, 1)), one(317, 1)
+    places, sizes = tags.get(324, tags.get(273)), tags.get(325, tags.get(279, [len(data)]))
+    if unpack is None or kind is None or mode > 3 or one(284, 1) != 1 or channels > 4 or not places or differs > 2 or (differs == 2 and kind == "f4"):
+        raise CodecError("unsupported", "planar or unusual TIFF")
+    wide, tall = (one(322, 0), one(323, 0)) if 324 in tags else (width, min(one(278, height), height))
+    if not wide or not tall:
+        raise CodecError("decode", "a strip or tile without a side")
+    _sized(wide, tall, limit)
+    across = -(-width // wide)
+    if min(len(places), len(sizes)) < across * -(-height // tall):
         raise CodecError("decode", "samples end early")
-    v = np.frombuffer(raw[:n], end + kind).astype(kind).reshape(height, width, channels)
+    v = np.zeros((height, width, channels), kind)
+    for i, (a, n) in enumerate(zip(places, sizes, strict=False)):
+        y, x = i // across * tall, i % across * wide
+        if y >= height:
+            break
+        rows = tall if 324 in tags else min(tall, height - y)
+        need = rows * wide * channels * v.itemsize
+        raw = unpack(data[a : a + n], need)
+        if len(raw) < need:
+            raise CodecError("decode", "samples end early")
+        part = np.frombuffer(raw[:need], end + kind).astype(kind).reshape(rows, wide, channels)
+        if differs == 2:
+            part = np.cumsum(part, 1, dtype=kind)
+        v[y : y + rows, x : x + wide] = part[: height - y, : width - x]
     if mode == 3:
         planes = np.array(tags[320], np.uint16).reshape(3, -1)
+        if channels != 1 or v.max() >= planes.shape[1]:
+            raise CodecError("decode", "colour beyond the palette")
         v = planes[:, v[:, :, 0]].transpose(1, 2, 0)
     elif mode == 0:
-        v = v.copy()
         v[:, :, 0] = (np.iinfo(kind).max if kind != "f4" else 1) - v[:, :, 0]
     return Image(width, height, {1: "gray", 2: "gray_alpha", 3: "rgb", 4: "rgba"}[v.shape[2]], v)
 
