@@ -1,8 +1,8 @@
-"""Sequential JPEG with Huffman codes: transforms and bit packing in numpy, reading codes one by one.
+"""JPEG with Huffman codes: transforms and bit packing in numpy, reading codes one by one.
 
-Written: 8-bit gray and RGB, 4:4:4 or 4:2:0, with Huffman tables made for the image. Read: what
-is written, other sampling factors, restarts, several scans. Progressive, arithmetic, 12-bit and
-four-channel files are told as unsupported.
+Written: 8-bit gray and RGB, 4:4:4 or 4:2:0, sequential, with Huffman tables made for the image.
+Read: what is written, other sampling factors, restarts, several scans, progressive files.
+Arithmetic, lossless, 12-bit and four-channel files are told as unsupported.
 """
 
 from __future__ import annotations
@@ -254,6 +254,114 @@ def _read(data: bytes, order: list[tuple[int, np.ndarray]], tables: list[tuple[l
                 break
 
 
+class _Bits:
+    """Bits of one run of codes, ones behind its end."""
+
+    def __init__(self, data: bytes):
+        self.data, self.acc, self.have, self.at = data, 0, 0, 0
+
+    def _fill(self) -> None:
+        if self.at > len(self.data) + 16:
+            raise CodecError("decode", "samples end early")
+        part = self.data[self.at : self.at + 4]
+        self.acc = (self.acc & ((1 << self.have) - 1)) << 32 | int.from_bytes(part + b"\xff" * (4 - len(part)))
+        self.at, self.have = self.at + 4, self.have + 32
+
+    def take(self, n: int) -> int:
+        if self.have < n:
+            self._fill()
+        self.have -= n
+        return self.acc >> self.have & ((1 << n) - 1)
+
+    def symbol(self, table: list[int]) -> int:
+        if self.have < 16:
+            self._fill()
+        entry = table[self.acc >> (self.have - 16) & 0xFFFF]
+        if not entry:
+            raise CodecError("decode", "a code that no table has")
+        self.have -= entry >> 8
+        return entry & 0xFF
+
+    def signed(self, n: int) -> int:
+        v = self.take(n) if n else 0
+        return v - (1 << n) + 1 if n and v < 1 << (n - 1) else v
+
+
+def _read_means(bits: _Bits, order: list[tuple[int, np.ndarray]], tables: list, low: int, again: bool) -> None:
+    """A progressive scan of first coefficients: their high bits, or (again) one bit more of each."""
+    before = [0] * len(tables)
+    for c, block in order:
+        if again:
+            block[0] |= bits.take(1) << low
+            continue
+        size = bits.symbol(tables[c])
+        if size > 15:
+            raise CodecError("decode", "a number of too many bits")
+        before[c] += bits.signed(size)
+        block[0] = before[c] << low
+
+
+def _read_band(bits: _Bits, order: list[tuple[int, np.ndarray]], table: list[int], first: int, last: int, low: int) -> None:
+    """A progressive scan that gives the high bits of one component's coefficients first to last."""
+    empty = 0
+    for _, block in order:
+        if empty:
+            empty -= 1
+            continue
+        k = first
+        while k <= last:
+            run, size = divmod(bits.symbol(table), 16)
+            if not size and run < 15:
+                empty = (1 << run) - 1 + bits.take(run)
+                break
+            k += run
+            if size:
+                if k > last:
+                    raise CodecError("decode", "a coefficient beyond its band")
+                block[k] = bits.signed(size) << low
+            k += 1
+
+
+def _refine_band(bits: _Bits, order: list[tuple[int, np.ndarray]], table: list[int], first: int, last: int, low: int) -> None:
+    """A progressive scan that gives one bit more: of known coefficients where they are passed, and new ones of that size."""
+    empty, one = 0, 1 << low
+    for _, block in order:
+        known = block[first : last + 1].tolist()
+        k, n = 0, len(known)
+        new: dict[int, int] = {}
+
+        def passed(k: int) -> None:
+            if bits.take(1):
+                new[k] = known[k] + (one if known[k] > 0 else -one)  # noqa: B023
+
+        while k < n and not empty:
+            run, size = divmod(bits.symbol(table), 16)
+            if size > 1:
+                raise CodecError("decode", "a new coefficient of more than a bit")
+            if not size and run < 15:
+                empty = (1 << run) + bits.take(run)
+                break
+            value = (one if bits.take(1) else -one) if size else 0
+            while k < n and (known[k] or run):
+                if known[k]:
+                    passed(k)
+                else:
+                    run -= 1
+                k += 1
+            if value:
+                if k >= n:
+                    raise CodecError("decode", "a coefficient beyond its band")
+                new[k] = value
+            k += 1
+        if empty:
+            for j in range(k, n):
+                if known[j]:
+                    passed(j)
+            empty -= 1
+        for j, v in new.items():
+            block[first + j] = v
+
+
 class _File:
     def __init__(self, data: bytes, limit: int):
         self.data, self.limit = data, limit
@@ -262,6 +370,7 @@ class _File:
         self.components: list[_Component] = []
         self.restart = 0
         self.transform: int | None = None
+        self.progressive = False
 
     def decode(self) -> Image:
         at, data = 2, self.data
@@ -300,10 +409,11 @@ class _File:
             self.restart = struct.unpack_from(">H", body)[0]
         elif marker == 0xEE and body[:5] == b"Adobe" and len(body) > 11:
             self.transform = body[11]
-        elif marker in (0xC0, 0xC1):
+        elif marker in (0xC0, 0xC1, 0xC2):
+            self.progressive = marker == 0xC2
             self.frame(body)
-        elif 0xC2 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
-            raise CodecError("unsupported", "only sequential JPEG with Huffman codes is read")
+        elif 0xC3 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
+            raise CodecError("unsupported", "only sequential and progressive JPEG with Huffman codes is read")
 
     def frame(self, body: bytes) -> None:
         depth, self.height, self.width, n = struct.unpack_from(">BHHB", body)
@@ -329,8 +439,14 @@ class _File:
         told = [(by.get(body[1 + 2 * i]), body[2 + 2 * i]) for i in range(body[0])]
         if not told or any(c is None for c, _ in told):
             raise CodecError("decode", "a scan of unknown components")
+        first, last, high, low = *body[1 + 2 * body[0] : 3 + 2 * body[0]], *divmod(body[3 + 2 * body[0]], 16)
+        means, bands = not self.progressive or first == 0 and not high, not self.progressive or first > 0
+        if self.progressive and first == 0 < last:
+            raise CodecError("unsupported", "a progressive scan of first coefficients and others")
+        if self.progressive and (first > last or last > 63 or low > 13 or (first and len(told) > 1)):
+            raise CodecError("decode", "a scan of no possible band")
         try:
-            tables = [(self.codes[t >> 4], self.codes[16 + (t & 15)]) for _, t in told]
+            tables = [(self.codes[t >> 4] if means else None, self.codes[16 + (t & 15)] if bands else None) for _, t in told]
         except KeyError:
             raise CodecError("decode", "a scan without its Huffman tables") from None
         if len(told) == 1:
@@ -349,7 +465,13 @@ class _File:
         if len(runs) < -(-len(units) // each):
             raise CodecError("decode", "samples end early")
         for i in range(0, len(units), each):
-            _read(runs[i // each].replace(b"\xff\x00", b"\xff"), [b for u in units[i : i + each] for b in u], tables)
+            run, order = runs[i // each].replace(b"\xff\x00", b"\xff"), [b for u in units[i : i + each] for b in u]
+            if not self.progressive:
+                _read(run, order, tables)
+            elif first == 0:
+                _read_means(_Bits(run), order, [t for t, _ in tables], low, high > 0)
+            else:
+                (_refine_band if high else _read_band)(_Bits(run), order, tables[0][1], first, last, low)
         return stop
 
     def image(self) -> Image:

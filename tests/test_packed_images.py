@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.operators import palette, raster
-from rasterloom.sources import codecs, containers, probe
+from rasterloom.sources import codecs, containers, jpeg, probe
 
 
 def shades(color, width=21, height=13, kind=np.uint8, seed=2):
@@ -145,3 +145,22 @@ def test_padding_many_images(spark):
     assert len(out) == 12 and by["a"] == {(0, 0): 9, (0, 1): 9, (0, 2): 9, (1, 0): 9, (1, 1): 1, (1, 2): 2}
     assert by[None][(1, 1)] == 3 and by[None][(1, 2)] == 9
     assert raster.padded(pixels.limit(0), 3, 2, 1, 1, {"v": 9}, ["name"]).count() == 0
+
+
+@pytest.mark.parametrize("color", ["gray", "rgb"])
+@pytest.mark.parametrize("size", [(21, 13), (1, 1), (130, 90)])
+def test_progressive_jpeg(spark, color, size):
+    """Scans in bands and by bits give the coefficients that one scan gives."""
+    i = shades(color, *size)
+    plain, scans = written(spark, i, "jpeg"), written(spark, i, "jpeg", progressive=True)
+    assert b"\xff\xc2" in scans and scans.count(b"\xff\xda") > 3
+    assert (jpeg.decode_jpeg(scans).samples == jpeg.decode_jpeg(plain).samples).all()
+    raster_ = spark._jvm.javax.imageio.ImageIO.read(spark._jvm.java.io.ByteArrayInputStream(scans)).getRaster()
+    theirs = np.array(list(raster_.getPixels(0, 0, *size, None)))
+    near = np.abs(jpeg.decode_jpeg(scans).samples.astype(int) - theirs)
+    assert near.max() <= 2 if color == "gray" else near.mean() < 6  # the JVM smooths halved colours
+    for n in range(20, len(scans), max(1, len(scans) // 25)):
+        try:
+            jpeg.decode_jpeg(scans[:n])
+        except codecs.CodecError as e:
+            assert e.kind in ("decode", "unsupported")
