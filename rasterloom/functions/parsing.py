@@ -64,13 +64,15 @@ def colour(s: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    """673 B, 45.6 KB, 1.2 MB, 1.20 GB."""
+    """673 B, 45.6 KB, 1.2 MB, 1.20 GB; rounded by the double's exact value, halves to even."""
+    # format_string rounds the shortest decimal that names the double, and its halves up
+    shown = lambda x, pattern, unit: F.concat(F.call_function("format_number", x, F.lit(pattern)), F.lit(unit))
     d = n.cast("double")
     return (
         F.when(n < 1000, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1_000_000, F.format_string("%.1f KB", d / 1e3))
-        .when(n < 1_000_000_000, F.format_string("%.1f MB", d / 1e6))
-        .otherwise(F.format_string("%.2f GB", d / 1e9))
+        .when(n < 1_000_000, shown(d / 1e3, "0.0", " KB"))
+        .when(n < 1_000_000_000, shown(d / 1e6, "0.0", " MB"))
+        .otherwise(shown(d / 1e9, "0.00", " GB"))
     )
 
 
